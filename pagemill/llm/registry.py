@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, pieces, quality, token_files, url_filter, warc
+from . import mixing, mtree, pieces, quality, token_files, url_filter, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,10 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), url_filter.rules_table(spark))
 
 
+def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mtree.top_k(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -46,6 +50,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op7_token_counts,
         op8_mixing,
         op9_url_filter,
+        op10_top_k,
     )
 }
-ORACLES: dict[str, str] = {"op2_warc": warc.ORACLE, "op9_url_filter": url_filter.ORACLE}
+ORACLES: dict[str, str] = {"op10_top_k": mtree.ORACLE, "op2_warc": warc.ORACLE, "op9_url_filter": url_filter.ORACLE}
