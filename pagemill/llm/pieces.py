@@ -44,7 +44,7 @@ def default_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-class _Table:
+class Table:
     """Open addressing from int64 keys to row numbers, filled and probed for whole arrays."""
 
     def __init__(self, room: int):
@@ -144,7 +144,7 @@ class Pieces:
                     for x in (a, b):
                         if len(x) > 1 and order[score[x]] >= r:
                             careful[symbol[x]] = True
-        self.pairs = _Table(2 * len(keys))
+        self.pairs = Table(2 * len(keys))
         self.pairs.insert(np.array(keys, np.int64), np.arange(len(keys), dtype=np.int32))
         self.rank, self.made = np.array([*rank, NONE], np.int64), np.array([*made, -1], np.int32)
         self.careful = np.zeros(int(self.base), bool)
@@ -162,7 +162,7 @@ class Pieces:
         self.clear()
 
     def clear(self) -> None:
-        self.cache = _Table(CACHE_WORDS)
+        self.cache = Table(CACHE_WORDS)
         self.flat = np.zeros(0, np.int32)
         self.at, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
