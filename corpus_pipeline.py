@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagemill.llm import mixing, quality
+from pagemill.llm import mixing, near_dedup, pieces, quality, suffix_dedup
 from pagemill.llm.shared import saved
 
 #: The stages' joint rows can't be told in SQL: they rest on an estimated model and keyed permutations.
@@ -12,16 +12,36 @@ ORACLE_SQL = None
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rules' posterior rejects go."""
     return quality.keep_good(docs)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays."""
+    return near_dedup.one_of_each(docs)
+
+
+def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Strings of 100 bytes and more that stand further up go; documents of which nothing is left go too."""
+    return suffix_dedup.cut(docs)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each document and epoch with the words that the mix takes."""
     return mixing.mixed_documents(docs)
 
 
+def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, source, lang, n_tokens, ids_sha256, decoded_sha256, ids of every row."""
+    return pieces.encode_table(docs, keys=("doc_id", "source", "lang"), with_ids=True)
+
+
 STAGES = [
     ("quality_rules", quality_rules),
+    ("near_dedup", near_duplicates),
+    ("suffix_dedup", repeated_strings),
     ("mix_sources", mix_sources),
+    ("sentencepiece", encode_pieces),
 ]
 
 
