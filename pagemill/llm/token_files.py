@@ -93,7 +93,7 @@ def count_tokens(files: DataFrame, end: int, block_tokens: int = BLOCK_TOKENS) -
     blocks = files.select("path").mapInArrow(_blocks(block_tokens), "path string, block long, total long")
     seps = blocks.repartition("path", "block").mapInArrow(_separators(block_tokens, end), "path string, block long, at array<bigint>")
     before = W.partitionBy("path").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
-    scan = seps.withColumn("_base", F.coalesce(F.sum(F.size("at")).over(before), F.lit(0))).withColumn("_last", F.coalesce(F.max(F.element_at("at", -1)).over(before), F.lit(-1).cast("bigint")))
+    scan = seps.withColumn("_base", F.coalesce(F.sum(F.size("at")).over(before), F.lit(0))).withColumn("_last", F.coalesce(F.max(F.try_element_at("at", F.lit(-1))).over(before), F.lit(-1).cast("bigint")))
     # Block by block: ends, and the end before each.
     prior = F.concat(F.array("_last"), F.slice("at", 1, F.greatest(F.size("at") - 1, F.lit(0))))
     each = scan.filter(F.size("at") > 0).select("path", "_base", F.posexplode(F.zip_with("at", prior, lambda a, b: a - b - 1)).alias("_i", "n_tokens"))
