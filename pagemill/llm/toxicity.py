@@ -39,7 +39,7 @@ from .shared import batches
 TRAIN_ROWS = 6_000
 DIM, FILTERS, WIDTHS = 16, 8, (1, 2, 3)
 PAD = max(WIDTHS) - 1
-EPOCHS, BATCH, RATE = 12, 64, 0.01
+EPOCHS, LEAST_STEPS, BATCH, RATE = 12, 600, 64, 0.01
 LEAST_DOCS, LEAST_Z, MOST_ROWS = 3, 4.0, 20_000
 PIECE_BYTES = 1 << 20
 
@@ -150,8 +150,9 @@ def fit(texts: list[str], label: np.ndarray, langs: list[str | None], ids: list[
     params = [rows, *filters, *bias, out, np.zeros(1)]
     m1, m2 = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     step = 0
-    for epoch in range(EPOCHS):
-        rate = RATE * (1 - epoch / EPOCHS)
+    epochs = max(EPOCHS, -(-LEAST_STEPS // -(-len(docs) // BATCH)))  # small samples are gone through more often
+    for epoch in range(epochs):
+        rate = RATE * (1 - epoch / epochs)
         order = rng.permutation(len(docs))
         for a in range(0, len(order), BATCH):
             pick = order[a : a + BATCH]
