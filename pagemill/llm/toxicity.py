@@ -74,16 +74,17 @@ def hashed_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _arranged(row: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows with runs of zeros cut to PAD and PAD zeros behind each text, and where each text starts."""
+    """Rows with runs of zeros cut to PAD, one at least, and PAD zeros behind each text; and where each text starts."""
     doc = np.repeat(np.arange(len(n)), n)
     at = np.flatnonzero(row)
     begin = (np.cumsum(n) - n)[doc[at]]
     before = np.concatenate([[-1], at[:-1]])[: len(at)]
     zeros = np.minimum(at - np.maximum(before + 1, begin), PAD)
-    size = np.bincount(doc[at], weights=zeros + 1, minlength=len(n)).astype(np.int64) + PAD
+    own = np.bincount(doc[at], weights=zeros + 1, minlength=len(n)).astype(np.int64)
+    size = np.maximum(own, 1) + PAD
     first = np.cumsum(size) - size
     out = np.zeros(int(size.sum()), np.int64)
-    out[np.cumsum(zeros + 1) - 1 + doc[at] * PAD] = row[at]
+    out[np.cumsum(zeros + 1) - 1 + (first - (np.cumsum(own) - own))[doc[at]]] = row[at]
     return out, first
 
 
@@ -112,7 +113,6 @@ class Model:
         ends = np.append(first[1:], len(row))
         for k in range(1, PAD + 1):
             live[ends - k] = False
-        live[first] = True
         odds = np.full(len(texts), self.base)
         for k, t in enumerate(tables[1]):
             z = t[0][row]
@@ -169,8 +169,6 @@ def fit(texts: list[str], label: np.ndarray, langs: list[str | None], ids: list[
                 for j in range(1, len(f)):
                     z[:-j] += (local @ f[j])[row[j:]]
                 z[np.concatenate([(first + n - k) for k in range(1, PAD + 1)])] = -1e9
-                short = n == PAD
-                z[first[short]] = 0
                 top = np.maximum.reduceat(z, first, axis=0)
                 at = np.full((len(pick), FILTERS), len(row), np.int64)
                 hit = np.nonzero(z == top[doc])
