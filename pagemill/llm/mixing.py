@@ -83,7 +83,7 @@ def slots(sources: DataFrame, block: int = BLOCK, seed: int = 7) -> DataFrame:
     s = s.withColumn("_n", F.least(F.round(F.col("target") * F.col("_blocks") / F.col("source_size")).cast("bigint"), (F.lit(int(CAP)) * F.col("_blocks")).cast("bigint")))
     s = s.withColumn("_first", F.sum("_n").over(every.orderBy("source_idx")) - F.col("_n")).withColumn("_all", F.sum("_n").over(every)).filter("_n > 0")
     pieces = s.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("_n") - 1) / PIECE))).alias("_piece"))
-    pieces = pieces.repartition("source_idx", "_piece")
+    pieces = pieces.repartition(int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions")), "source_idx", "_piece")  # a fixed count: few rows, but each makes PIECE slots
     start = F.col("_piece") * PIECE
     each = pieces.select("*", F.explode(F.sequence(start, F.least(start + PIECE, F.col("_n")) - 1)).alias("_j"))
     place = permuted(F.col("_first") + F.col("_j"), F.col("_all"), F.lit(seed))
@@ -97,14 +97,16 @@ def slots(sources: DataFrame, block: int = BLOCK, seed: int = 7) -> DataFrame:
 
 
 def _plan(sized: DataFrame, block: int, seed: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """sources, placed documents, and parts: one row for each document, block and epoch taken, with the words [_from, _from + _len) of the document."""
+    """Both sides of the join on (source, block) grow with the input: it is never a broadcast.
+
+    sources, placed documents, and parts: one row for each document, block and epoch taken, with the words [_from, _from + _len) of the document."""
     sources = saved(targets(sized), "mix-sources")
     few = sources.count() <= BROADCAST_ROWS
     placed = _placed(sized, sources, sized.count(), few)
     spans = placed.filter("size > 0").select("source_idx", "_off", "size", F.explode(F.sequence(F.floor(F.col("_off") / block), F.floor((F.col("_off") + F.col("size") - 1) / block))).alias("block"))
     lo = F.greatest(F.col("_off"), F.col("block") * block)
     hi = F.least(F.col("_off") + F.col("size"), (F.col("block") + 1) * block)
-    parts = spans.withColumn("_from", lo - F.col("_off")).withColumn("_len", hi - lo).join(slots(sources, block, seed), ["source_idx", "block"])
+    parts = spans.withColumn("_from", lo - F.col("_off")).withColumn("_len", hi - lo).join(slots(sources, block, seed).hint("merge"), ["source_idx", "block"])
     return sources, placed, parts
 
 
