@@ -36,7 +36,9 @@ from .components import components
 from .shared import batches, saved
 
 SURE = 0.68
-BLOCK = 256
+BLOCK = 1024
+#: Pairs whose sketches are compared at a time.
+STEP = 1 << 15
 #: Confirmations with the same first document in one group.
 FAN = 128
 #: So many ids (8 bytes each) may be broadcast.
@@ -96,7 +98,7 @@ def _compared(least: float, labelled: bool):
         """rows: groups x size, positions of members."""
         i, j = np.triu_indices(size, 1)
         out_a, out_b = [], []
-        step = max(1, (1 << 15) // len(i))
+        step = max(1, STEP // len(i))
         for g in range(0, len(rows), step):
             part = rows[g : g + step]
             a, b = part[:, i].ravel(), part[:, j].ravel()
@@ -109,7 +111,8 @@ def _compared(least: float, labelled: bool):
             a, b, group = a[ok], b[ok], group[ok]
             if not len(a):
                 continue
-            est = S.similarity(c["sketch"][a], c["k"][a], c["n"][a], c["sketch"][b], c["k"][b], c["n"][b])
+            each = [(a[p : p + STEP], b[p : p + STEP]) for p in range(0, len(a), STEP)]
+            est = np.concatenate([S.similarity(c["sketch"][x], c["k"][x], c["n"][x], c["sketch"][y], c["k"][y], c["n"][y]) for x, y in each])
             ok = est >= least
             a, b, group, est = a[ok], b[ok], group[ok], est[ok]
             if not labelled and size > 2:
