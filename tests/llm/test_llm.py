@@ -278,7 +278,7 @@ def test_toxicity(spark, empty):
     assert np.mean([got[i]["predicted"] == dict(labels)[i] for i in held]) > 0.97
     assert 0 <= got[1000]["score"] <= 1 and got[1000]["score"] == got[1001]["score"]
     assert toxicity.classify(empty, y).count() == 0
-    assert {r["score"] for r in toxicity.classify(d.limit(3), y.limit(0)).collect()} == {pytest.approx(0, abs=1e-6)}
+    assert all(r["score"] < 1e-6 for r in toxicity.classify(d.limit(3), y.limit(0)).collect())
 
 
 def test_pipeline(spark, docs):
