@@ -101,8 +101,11 @@ def count_tokens(files: DataFrame, end: int, block_tokens: int = BLOCK_TOKENS) -
 
 
 def document_counts(spark: SparkSession, docs: DataFrame, model: str | None = None) -> DataFrame:
-    """doc_id, n_tokens (without the separator), counted from token files made of ``docs``."""
+    """doc_id, n_tokens (without the separator), counted from token files made of ``docs``.
+
+    Manifest and counts both have a row a document: neither is a broadcast, however well it compresses.
+    """
     model = model or default_model()
     manifest = write_tokens(docs, new_path(spark, "tokens"), model)
     counts = count_tokens(manifest.select("path").distinct(), load(model).end)
-    return manifest.join(counts, ["path", "ordinal"]).select("doc_id", "n_tokens")
+    return manifest.join(counts.hint("merge"), ["path", "ordinal"]).select("doc_id", "n_tokens")
