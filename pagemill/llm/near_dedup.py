@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from . import shingles as S
-from .components import components
+from .components import components, joined
 from .shared import batches, saved
 
 SURE = 0.68
@@ -229,7 +229,7 @@ def link(docs: DataFrame, percent: int = 75) -> DataFrame:
     mixed = with_label.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key")
     more = saved(_candidates(members.join(mixed, "key", "left_semi"), reps, least, labels), "near-pairs")
     if not more.isEmpty():
-        labels = saved(components(links.unionByName(confirmed(more, docs, percent))), "near-labels")
+        labels = saved(joined(labels, confirmed(more, docs, percent), BROADCAST_IDS), "near-labels")
     led = classes.join(labels, F.col("cid") == F.col("id"), "left").select("name", F.coalesce("label", "cid").alias("component_id"))
     out = sets.select("doc_id", "n", "name").join(led, "name", "left")
     alone = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))

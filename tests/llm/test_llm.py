@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 
 from pagemill.llm import mixing, mtree, near_dedup, pieces, quality, suffix_dedup, suffixes, token_files, toxicity, url_filter, warc
+from pagemill.llm.components import components, joined
 
 BLANK = r"[^\x20\x09-\x0D]+"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -102,6 +103,26 @@ def repeats(rows, length=100):
 
 
 @pytest.mark.parametrize("hot", [1000, 3])
+def test_joined_labels(spark):
+    r = random.Random(3)
+    for first, second, few in ((60, 40, 10), (0, 30, 1000), (50, 0, 1000)):
+        edges = [[tuple(r.sample(range(120), 2)) for _ in range(k)] for k in (first, second)]
+        up: dict[int, int] = {}
+
+        def top(x, up=up):
+            while x in up:
+                x = up[x]
+            return x
+
+        for a, b in edges[0] + edges[1]:
+            a, b = sorted((top(a), top(b)))
+            if a != b:
+                up[b] = a
+        one, two = (spark.createDataFrame(e, "a long, b long") for e in edges)
+        got = joined(components(one), two, few).collect()
+        assert sorted((x.id, x.label) for x in got) == sorted((x, top(x)) for x in {x for e in edges for pair in e for x in pair})
+
+
 def test_suffix_dedup(docs, rows, hot, monkeypatch):
     monkeypatch.setattr(suffix_dedup.covered, "__defaults__", (suffix_dedup.LENGTH, suffix_dedup.K, hot))
     got = {r["doc_id"]: tuple(r)[1:] for r in suffix_dedup.removed(docs).collect()}
