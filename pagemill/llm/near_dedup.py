@@ -204,7 +204,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, percent: int = 75) -> DataFrame
     texts = docs.select(F.col("doc_id").alias("_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids) if few else ids, "_id", "left_semi")
     texts = saved(texts, "near-texts")
     degree = pairs.groupBy("a").agg(F.ceil(F.count("*") / FAN).alias("_parts"))
-    p = pairs.join(degree, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("_parts"))).select("a", "part", "b")
+    p = saved(pairs.join(degree, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("_parts"))).select("a", "part", "b"), "near-fans")
     rows = p.join(texts, F.col("b") == F.col("_id")).select("a", "part", "b", F.lit(1).alias("kind"), "text")
     hubs = p.select("a", "part").distinct().join(texts, F.col("a") == F.col("_id")).select("a", "part", F.col("a").alias("b"), F.lit(0).alias("kind"), "text")
     together = rows.unionByName(hubs).repartition("a", "part").sortWithinPartitions("a", "part", "kind")
