@@ -5,9 +5,12 @@ the classes' MinHash samples each band of four is a bucket key.  Within a
 bucket, pairs are compared by their odd sketches (parity bitmaps of MinHash
 samples; the XOR's population count gives the similarity) and never written
 out as such: first only the edges of a maximum spanning forest of the pairs
-that may be similar enough, to be confirmed on full shingle sets; then, once
-confirmed links have made components, those pairs that could still link two
-components.  Buckets of more than ``BLOCK`` members are compared in pairs of
+that may be similar enough, and of all buckets' edges each document's best one
+to a smaller and to a larger id, to be confirmed on full shingle sets; then,
+once confirmed links have made components, the edges of a spanning forest of
+the components in each bucket; then those pairs that could still link two
+components.  Only the last round decides what is linked: the others leave it
+little to do.  Buckets of more than ``BLOCK`` members are compared in pairs of
 blocks, each pair a task group of its own, so that no group is large.
 
 ``SURE`` lies five standard deviations of the sketch below the threshold;
@@ -37,6 +40,8 @@ from .shared import batches, saved
 
 SURE = 0.68
 BLOCK = 1024
+#: Estimates are kept as whole numbers of this fineness.
+SCALE = 1 << 20
 #: Pairs whose sketches are compared at a time.
 STEP = 1 << 15
 #: Confirmations with the same first document in one group.
@@ -91,16 +96,17 @@ def _groups(it: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]
         yield pa.Table.from_batches(held)
 
 
-def _compared(least: float, labelled: bool):
-    """From bucket members to pairs (a, b): a spanning forest of those with an estimate of ``least``, or all of them between different labels."""
+def _compared(least: float, labelled: bool, forest: bool):
+    """From bucket members to pairs (a, b, est) with an estimate of ``least``, between different labels if there are some: all of them, or a spanning forest."""
 
-    def of_groups(size: int, rows: np.ndarray, c: dict[str, np.ndarray]) -> tuple[list[int], list[int]]:
+    def of_groups(size: int, rows: np.ndarray, c: dict[str, np.ndarray]) -> tuple[list[int], list[int], list[int]]:
         """rows: groups x size, positions of members."""
         i, j = np.triu_indices(size, 1)
-        out_a, out_b = [], []
+        out_a, out_b, out_est = [], [], []
+        node = c["label"] if labelled else np.arange(len(c["id"]))
         step = max(1, STEP // len(i))
-        for g in range(0, len(rows), step):
-            part = rows[g : g + step]
+        for at in range(0, len(rows), step):
+            part = rows[at : at + step]
             a, b = part[:, i].ravel(), part[:, j].ravel()
             group = np.repeat(np.arange(len(part)), len(i))
             ok = (c["id"][a] != c["id"][b]) & ((c["half"][a] == 0) | (c["half"][a] != c["half"][b]))
@@ -115,25 +121,26 @@ def _compared(least: float, labelled: bool):
             est = np.concatenate([S.similarity(c["sketch"][x], c["k"][x], c["n"][x], c["sketch"][y], c["k"][y], c["n"][y]) for x, y in each])
             ok = est >= least
             a, b, group, est = a[ok], b[ok], group[ok], est[ok]
-            if not labelled and size > 2:
+            if forest and size > 2:
                 order = np.lexsort((-est, group))
-                root: dict[int, int] = {}
+                root: dict[tuple[int, int], tuple[int, int]] = {}
 
-                def find(x: int, root=root) -> int:
+                def find(x: tuple[int, int], root=root) -> tuple[int, int]:
                     while (y := root.get(x, x)) != x:
                         root[x] = root.get(y, y)
                         x = y
                     return x
 
                 keep = []
-                for p, x, y in zip(order.tolist(), a[order].tolist(), b[order].tolist(), strict=True):
-                    if (x := find(x)) != (y := find(y)):
+                for p, g, x, y in zip(order.tolist(), group[order].tolist(), node[a[order]].tolist(), node[b[order]].tolist(), strict=True):
+                    if (x := find((g, x))) != (y := find((g, y))):
                         root[x] = y
                         keep.append(p)
-                a, b = a[keep], b[keep]
+                a, b, est = a[keep], b[keep], est[keep]
             out_a += np.minimum(c["id"][a], c["id"][b]).tolist()
             out_b += np.maximum(c["id"][a], c["id"][b]).tolist()
-        return out_a, out_b
+            out_est += (est * SCALE).astype(np.int64).tolist()
+        return out_a, out_b, out_est
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _groups(it, ["key", "i", "j"]):
@@ -143,20 +150,19 @@ def _compared(least: float, labelled: bool):
             new[1:] = (c["key"][1:] != c["key"][:-1]) | (c["i"][1:] != c["i"][:-1]) | (c["j"][1:] != c["j"][:-1])
             begin = np.flatnonzero(new)
             size = np.diff(np.append(begin, t.num_rows))
-            a, b = [], []
+            found: tuple[list[int], ...] = ([], [], [])
             for s in np.unique(size):
                 if s > 1:
-                    x, y = of_groups(int(s), begin[size == s][:, None] + np.arange(s), c)
-                    a += x
-                    b += y
-            seen = np.unique(np.column_stack([np.array(a, np.int64), np.array(b, np.int64)]), axis=0) if a else np.zeros((0, 2), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(seen[:, 0]), pa.array(seen[:, 1])], ["a", "b"])
+                    for held, more in zip(found, of_groups(int(s), begin[size == s][:, None] + np.arange(s), c), strict=True):
+                        held += more
+            seen = np.unique(np.column_stack([np.array(x, np.int64) for x in found]), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(seen[:, k]) for k in range(3)], ["a", "b", "est"])
 
     return run
 
 
-def _candidates(members: DataFrame, reps: DataFrame, least: float, labels: DataFrame | None = None) -> DataFrame:
-    """Distinct pairs (a, b) from buckets: members has key, id and m, the bucket's size."""
+def _candidates(members: DataFrame, reps: DataFrame, least: float, labels: DataFrame | None = None, forest: bool = True) -> DataFrame:
+    """Distinct pairs (a, b, est) from buckets: members has key, id and m, the bucket's size."""
     g = F.ceil(F.col("m") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("id", F.lit(3)), g).cast("int")
     tasks = F.transform(F.sequence(F.lit(0), g - 1), lambda o: F.struct(F.least(own, o).alias("i"), F.greatest(own, o).alias("j")))
@@ -167,7 +173,14 @@ def _candidates(members: DataFrame, reps: DataFrame, least: float, labels: DataF
     sketches = reps.select(F.col("doc_id").alias("id"), "n", "k", "sketch")
     rows = placed.join(sketches if labels is None else sketches.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id")), "id")
     rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "id")
-    return rows.mapInArrow(_compared(least, labels is not None), "a long, b long").distinct()
+    return rows.mapInArrow(_compared(least, labels is not None, forest), "a long, b long, est long").distinct()
+
+
+def _best(pairs: DataFrame) -> DataFrame:
+    """Of the pairs (a, b, est) each id's best one to a larger and to a smaller id: at most two an id, aggregated before the shuffle."""
+    up = pairs.groupBy("a").agg(F.max(F.struct("est", (-F.col("b")).alias("_o"))).alias("_m")).select("a", (-F.col("_m._o")).alias("b"))
+    down = pairs.groupBy("b").agg(F.max(F.struct("est", (-F.col("a")).alias("_o"))).alias("_m")).select((-F.col("_m._o")).alias("a"), "b")
+    return up.unionByName(down).distinct()
 
 
 def _confirmer(percent: int):
@@ -199,7 +212,7 @@ def _confirmer(percent: int):
 
 def confirmed(pairs: DataFrame, docs: DataFrame, percent: int = 75) -> DataFrame:
     """The pairs whose full shingle sets are similar enough.  Each group holds a document and up to about FAN partners."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct()
+    ids = saved(pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct(), "near-ids")
     few = ids.count() <= BROADCAST_IDS
     texts = docs.select(F.col("doc_id").alias("_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids) if few else ids, "_id", "left_semi")
     texts = saved(texts, "near-texts")
@@ -222,13 +235,16 @@ def link(docs: DataFrame, percent: int = 75) -> DataFrame:
     members = keys.withColumn("m", F.count("*").over(W.partitionBy("key"))).filter("m > 1")
     members = saved(members, "near-buckets")
     least = percent / 100 - (0.75 - SURE)
-    links = confirmed(saved(_candidates(members, reps, least), "near-pairs"), docs, percent)
-    labels = saved(components(links), "near-labels")
-    # Buckets in which more than one component is left.
-    with_label = members.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    mixed = with_label.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key")
-    more = saved(_candidates(members.join(mixed, "key", "left_semi"), reps, least, labels), "near-pairs")
-    if not more.isEmpty():
+    first = saved(_candidates(members, reps, least), "near-found")
+    labels = saved(components(confirmed(saved(_best(first), "near-pairs"), docs, percent)), "near-labels")
+    for forest in (True, False):
+        # Buckets in which more than one component is left.
+        with_label = members.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+        mixed = with_label.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key")
+        members = saved(members.join(mixed, "key", "left_semi"), "near-buckets")
+        more = saved(_candidates(members, reps, least, labels, forest), "near-pairs")
+        if more.isEmpty():
+            break
         labels = saved(joined(labels, confirmed(more, docs, percent), BROADCAST_IDS), "near-labels")
     led = classes.join(labels, F.col("cid") == F.col("id"), "left").select("name", F.coalesce("label", "cid").alias("component_id"))
     out = sets.select("doc_id", "n", "name").join(led, "name", "left")
