@@ -114,13 +114,19 @@ def similarity(a, ka, na, b, kb, nb) -> np.ndarray:
     """Estimated Jaccard similarity from sketches, their numbers of samples and the sets' sizes (broadcast against each other).
 
     The population count of the sketches' XOR tells how many samples are in one
-    only, and so how many bins agree; the bins that either set fills follow
-    from the size of the union.
+    only, and so how many bins agree.  Of the bins that both sets fill, those
+    that don't agree are taken at their expected number, which depends on the
+    similarity: a fixed point, approached by halves.  The bins that the union
+    fills then follow from the actual numbers of samples; their expected number
+    would do for large sets only.
     """
     odd = np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
     differ = -SKETCH / 2 * np.log(np.maximum(1 - 2 * odd / SKETCH, 1e-9))
     agree = np.maximum(ka + kb - differ, 0) / 2
+    both_or_less = 1 - np.exp(-na / BINS) - np.exp(-nb / BINS)
     j = np.full(odd.shape, 0.75)
-    for _ in range(4):
-        j = np.clip(agree / (BINS * -np.expm1(-(na + nb) / (1 + j) / BINS)), 0, 1)
+    for _ in range(8):
+        none = np.exp(-(na + nb) / (1 + j) / BINS)
+        apart = np.maximum(BINS * (both_or_less + none - j * (1 - none)), 0)
+        j = (j + np.clip(agree / np.maximum(ka + kb - agree - apart, 1), 0, 1)) / 2
     return j
