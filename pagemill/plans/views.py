@@ -14,7 +14,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 def lines(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "documents").select(c("doc_id").alias("page"), F.posexplode(F.split("text", "\n")).alias("seq", "line"))
-    return d.filter((c("seq") < 40) & (F.trim("line") != "")).withColumn("seq", c("seq").cast("bigint"))
+    return d.filter(F.trim("line") != "").withColumn("seq", c("seq").cast("bigint"))
 
 
 def regions(spark: SparkSession, sf: str) -> DataFrame:
