@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from pagemill.functions.distance import distance
+
 #: Letters counted as diacritics by the evaluator, and the wider set of the charset (fixed values).
 EVALUATED_LETTERS = "åäöøæÅÄÖØÆ"
 NORDIC_LETTERS = "åäöøæðþÅÄÖØÆÐÞ"
@@ -33,25 +39,40 @@ def has_nordic(s: Column) -> Column:
     return s.rlike(f"[{NORDIC_LETTERS}]")
 
 
+def _edits(a: Column, b: Column, ids) -> Column:
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None or y is None else 0 if x == y else distance(*ids(x, y)) for x, y in zip(a, b, strict=True)], dtype="Int32")
+
+    return F.pandas_udf(run, "int")(a, b)
+
+
+def _chars(*texts: str) -> list[np.ndarray]:
+    return [np.frombuffer(s.encode("utf-32-le"), "<u4").astype(np.int64) for s in texts]
+
+
+def _words(*texts: str) -> list[np.ndarray]:
+    known: dict[str, int] = {}
+    return [np.array([known.setdefault(w, len(known)) for w in re.split(r"[ \t\n\x0b\f\r]+", s) if w], np.int64) for s in texts]
+
+
+def levenshtein(a: Column, b: Column) -> Column:
+    """Levenshtein distance in characters; Spark's own takes some ten times as long on long lines."""
+    return _edits(a, b, _chars)
+
+
 def cer(ref: Column, hyp: Column) -> Column:
     """Character error rate; an empty reference gives 0 for an empty hypothesis and 1 for any other."""
     n = F.length(ref)
-    return F.when(n == 0, F.when(F.length(hyp) == 0, F.lit(0.0)).otherwise(F.lit(1.0))).otherwise(F.levenshtein(ref, hyp) / F.greatest(n, F.lit(1)))
+    return F.when(n == 0, F.when(F.length(hyp) == 0, F.lit(0.0)).otherwise(F.lit(1.0))).otherwise(levenshtein(ref, hyp) / F.greatest(n, F.lit(1)))
 
 
 def evaluator_cer(ref: Column, hyp: Column) -> Column:
-    return F.levenshtein(ref, hyp) / F.greatest(F.length(ref), F.lit(1))
+    return levenshtein(ref, hyp) / F.greatest(F.length(ref), F.lit(1))
 
 
 def word_edits(ref: Column, hyp: Column) -> Column:
-    """Levenshtein distance over word lists: each distinct word of the two becomes one private-use character."""
-    split = lambda s: F.filter(F.split(F.trim(s), r"\s+"), lambda w: w != "")
-    a, b = split(ref), split(hyp)
-    both = F.array_distinct(F.concat(a, b))
-    # CJK ideographs serve as the alphabet: room for 20,000 distinct words in a pair.
-    letter = lambda w: F.decode(F.unhex(F.lpad(F.hex(F.array_position(both, w) + F.lit(0x4DFF)), 4, "0")), "UTF-16BE")
-    name = lambda ws: F.array_join(F.transform(ws, letter), "")
-    return F.levenshtein(name(a), name(b))
+    """Levenshtein distance over word lists."""
+    return _edits(ref, hyp, _words)
 
 
 def leading_garbage(n: Column, v: Column) -> Column:

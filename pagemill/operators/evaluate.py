@@ -20,7 +20,7 @@ def r6(x: Column) -> Column:
 
 
 def micro_cer(p: DataFrame) -> DataFrame:
-    edits, n = F.sum(F.levenshtein("ref", "hyp")).cast("bigint"), F.sum(F.length("ref")).cast("bigint")
+    edits, n = F.sum(T.levenshtein(c("ref"), c("hyp"))).cast("bigint"), F.sum(F.length("ref")).cast("bigint")
     return p.agg(edits.alias("edits"), n.alias("ref_chars")).withColumn("cer", r6(c("edits") / F.greatest(c("ref_chars"), F.lit(1))))
 
 
@@ -33,21 +33,22 @@ def exact(p: DataFrame) -> DataFrame:
     return p.agg(F.count("*").alias("n"), _count(c("ref") == c("hyp")).alias("correct")).withColumn("accuracy", r6(c("correct") / F.greatest(c("n"), F.lit(1))))
 
 
-def _positions(p: DataFrame, most: Column) -> DataFrame:
-    return p.withColumn("_i", F.explode(F.when(most > 0, F.sequence(F.lit(1), most)).otherwise(F.array().cast("array<int>"))))
+def _positions(p: DataFrame) -> DataFrame:
+    """The characters of both lines by place; null past a line's end."""
+    chars = lambda k: F.filter(F.split(k, ""), lambda ch: ch != "").alias(k)
+    return p.select("page", "seq", F.posexplode(F.arrays_zip(chars("ref"), chars("hyp"))).alias("_i", "_z")).select("page", "seq", "_i", "_z.ref", "_z.hyp")
 
 
 def confusions(p: DataFrame, top: int = 20) -> DataFrame:
     """The most frequent unequal characters at equal places of the common length."""
-    e = _positions(p, F.least(F.length("ref"), F.length("hyp")))
-    e = e.select(F.substring("ref", c("_i"), F.lit(1)).alias("true_char"), F.substring("hyp", c("_i"), F.lit(1)).alias("pred_char"), "page", "seq", "_i").filter("true_char <> pred_char")
+    e = _positions(p).select(c("ref").alias("true_char"), c("hyp").alias("pred_char"), "page", "seq", "_i").filter("true_char <> pred_char")
     n = e.groupBy("true_char", "pred_char").agg(F.count("*").alias("n"), F.min(F.struct("page", "seq", "_i")).alias("_first"))
     return n.orderBy(F.desc("n"), "_first").limit(top).drop("_first")
 
 
 def diacritics(p: DataFrame, letters: str = T.EVALUATED_LETTERS) -> DataFrame:
     """By letter: total, correct, accuracy; places past the hypothesis count as missing."""
-    e = _positions(p, F.length("ref")).select(F.substring("ref", c("_i"), F.lit(1)).alias("letter"), F.substring("hyp", c("_i"), F.lit(1)).alias("_h")).filter(c("letter").isin(*letters))
+    e = _positions(p).select(c("ref").alias("letter"), F.coalesce("hyp", F.lit("")).alias("_h")).filter(c("letter").isin(*letters))
     return e.groupBy("letter").agg(F.count("*").alias("total"), _count(c("letter") == c("_h")).alias("correct")).withColumn("accuracy", r6(c("correct") / c("total")))
 
 
@@ -102,7 +103,7 @@ def corpus_cer(p: DataFrame) -> DataFrame:
     """Without hypotheses over three times as long as their (longer than three) reference, digits joined."""
     d = p.filter(~((F.length("hyp") > 3 * F.length("ref")) & (F.length("ref") > 3)))
     d = d.select(T.digit_spacing(c("ref")).alias("ref"), T.digit_spacing(c("hyp")).alias("hyp"))
-    return d.agg(F.count("*").alias("n"), F.sum(F.levenshtein("ref", "hyp")).cast("bigint").alias("edits"), F.sum(F.greatest(F.length("ref"), F.lit(1))).cast("bigint").alias("ref_len")).withColumn("cer", r6(c("edits") / F.greatest(c("ref_len"), F.lit(1))))
+    return d.agg(F.count("*").alias("n"), F.sum(T.levenshtein(c("ref"), c("hyp"))).cast("bigint").alias("edits"), F.sum(F.greatest(F.length("ref"), F.lit(1))).cast("bigint").alias("ref_len")).withColumn("cer", r6(c("edits") / F.greatest(c("ref_len"), F.lit(1))))
 
 
 def match_levels(p: DataFrame) -> DataFrame:
