@@ -64,7 +64,7 @@ def ar_decode(ids: Column, stops: tuple[int, ...] = (0, 2)) -> Column:
     return F.slice(ids, 1, F.coalesce(F.get(at, F.lit(0)), F.size(ids)).cast("int"))
 
 
-def tokenizer_encode(text: Column, alphabet: str, bos: int, eos: int, pad: int, size: int) -> Column:
+def tokenizer_encode(text: Column, alphabet: str, bos: int, eos: int, pad: int, size: int | Column) -> Column:
     """BOS, an id for each character (EOS for unknown ones), EOS, then PAD up to ``size``."""
     chars = F.filter(F.split(text, ""), lambda ch: ch != "")
     ids = F.transform(chars, lambda ch: F.when(F.instr(F.lit(alphabet), ch) > 0, F.instr(F.lit(alphabet), ch)).otherwise(F.lit(eos)))

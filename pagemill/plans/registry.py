@@ -327,9 +327,13 @@ FROM embeddings e LEFT JOIN a USING (vec_id) LEFT JOIN m USING (vec_id) LEFT JOI
 )
 _add("ar_decode", lambda s, sf: _steps(s, sf).select("vec_id", F.size(decode.ar_decode(F.transform("steps", lambda x: x["idx"]))).cast("bigint").alias("n")), f"WITH {V.V_STEPS} SELECT vec_id, coalesce(min(CASE WHEN idx IN (0, 2) THEN t END), 16) AS n FROM steps GROUP BY vec_id")
 _ALPHA = "abcdefghijklmnopqrstuvwxyz "
-_ids = lambda: decode.tokenizer_encode(F.substring("lang", 1, 5), _ALPHA, 28, 0, 29, 8)
+_ids = lambda: decode.tokenizer_encode(c("lang"), _ALPHA, 28, 0, 29, 8)
 _add("tokenizer_encode", lambda s, sf: V.table(s, sf, "documents").select("doc_id", F.array_join(_ids().cast("array<string>"), " ").alias("ids")), f"SELECT doc_id, array_to_string(list_concat([28], list_transform(string_split(lang, ''), lambda ch: strpos('{_ALPHA}', ch)), [0], list_transform(range(0, 6 - length(lang)), lambda i: 29)), ' ') AS ids FROM documents")
 _add("tokenizer_decode", lambda s, sf: V.table(s, sf, "documents").select("doc_id", decode.tokenizer_decode(_ids(), _ALPHA, 28, 0, 29).alias("text")), "SELECT doc_id, lang AS text FROM documents")
+# Whole lines, padded to a multiple of eight ids.
+_line_ids = lambda s, sf: V.lines(s, sf).select("page", "seq", decode.tokenizer_encode(c("line"), _ALPHA, 28, 0, 29, (F.ceil((F.length("line") + 2) / 8) * 8).cast("int")).alias("_ids"))
+_add("tokenizer_encode_lines", lambda s, sf: _line_ids(s, sf).select("page", "seq", F.array_join(c("_ids").cast("array<string>"), " ").alias("ids")))
+_add("tokenizer_decode_lines", lambda s, sf: _line_ids(s, sf).select("page", "seq", decode.tokenizer_decode(c("_ids"), _ALPHA, 28, 0, 29).alias("text")))
 _add("strip_spaces", lambda s, sf: V.lines(s, sf).select("page", "seq", (F.length("line") - F.length(F.ltrim("line"))).cast("bigint").alias("from_char"), F.trim("line").alias("text")), f"WITH {V.V_LINES} SELECT page, seq, length(line) - length(ltrim(line)) AS from_char, trim(line) AS text FROM lines")
 
 # ---- evaluation ------------------------------------------------------------------------------------------------------
