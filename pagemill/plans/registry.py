@@ -181,7 +181,17 @@ def _deltas(s: SparkSession, sf: str) -> DataFrame:
 
 
 _add("detection_deltas", _deltas)
-_add("detection_f1", lambda s, sf: regions.greedy_match(_page_pairs(s, sf).withColumn("dist", 1 - regions.iou()).filter("dist <= 0.5").select("page", "lseq", "rseq", "dist")).agg(F.count("*").alias("tp")))
+
+
+def _detection_f1(s: SparkSession, sf: str) -> DataFrame:
+    near = _page_pairs(s, sf).withColumn("dist", 1 - regions.iou()).filter("dist <= 0.5").select("page", "lseq", "rseq", "dist")
+    n = lambda df, k: df.agg(F.count("*").alias(k))
+    d = n(regions.greedy_match(near), "tp").crossJoin(n(V.jitter(s, sf), "n_found")).crossJoin(n(V.regions(s, sf), "n_true"))
+    share = lambda a, b: F.round(F.when(b > 0, a / b).otherwise(0.0), 6)
+    return d.select("tp", share(c("tp"), c("n_found")).alias("precision"), share(c("tp"), c("n_true")).alias("recall"), share(2 * c("tp"), c("n_found") + c("n_true")).alias("f1"))
+
+
+_add("detection_f1", _detection_f1)
 _PLAN = f"WITH {V.V_REGIONS}, q AS (SELECT *, greatest(CAST(round(w * 32 / h::DOUBLE) AS BIGINT), 4) AS rw FROM regions), plan AS (SELECT * EXCLUDE (rw), greatest(least(rw - rw % 4, 1792), 4) AS line_w FROM q)"
 _plan = lambda s, sf: regions.width_plan(V.regions(s, sf))
 _BATCH = f"{_PLAN}, n AS (SELECT page, seq, line_w, (row_number() OVER (ORDER BY line_w, page, seq) - 1) // 64 AS batch FROM plan), b AS (SELECT *, max(line_w) OVER (PARTITION BY batch) AS batch_w FROM n)"
