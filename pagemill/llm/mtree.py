@@ -8,8 +8,10 @@ of routing entries, which hold a pivot, a covering radius and the distance to
 the parent's pivot, and leaves, whose entries hold the distance to the leaf's
 pivot.  A block of queries is searched best first: each query visits its
 leaves by growing lower bound and stops when that passes its k-th distance.
-The triangle inequality with stored parent distances discards routing entries
-and leaf entries without a distance computation.
+The triangle inequality with stored parent distances discards leaf entries
+without a distance computation.  Routing entries don't profit: each query's
+distances to all pivots of the shard are computed, and ``computed`` and
+``avoided`` count leaf entries only.
 
 Scores are integers and ties are exact: distances only prune, with a margin
 for rounding.  Queries meet shards by an equi-join on (shard, block of
