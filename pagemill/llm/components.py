@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import saved
+from .shared import freed, saved
 
 ROUNDS = 60
 
@@ -25,6 +25,7 @@ def components(edges: DataFrame) -> DataFrame:
         # Done when every edge is a node's only one and leads to a root.
         state = new.agg(F.count("*"), F.countDistinct("a")).first()
         chained = new.join(new.select(F.col("a").alias("b")).distinct(), "b", "left_semi").limit(1).count()
+        freed(tree)
         tree = new
         if state[0] == state[1] and not chained:
             break
@@ -33,17 +34,17 @@ def components(edges: DataFrame) -> DataFrame:
     return tree.select(F.col("a").alias("id"), F.col("b").alias("label")).unionByName(tree.select(F.col("b").alias("id"), F.col("b").alias("label")).distinct())
 
 
-def joined(labels: DataFrame, edges: DataFrame, few: int) -> DataFrame:
+def joined(labels: DataFrame, edges: DataFrame) -> DataFrame:
     """``labels`` as ``components`` gives them, once ``edges`` (a, b) are there too.
 
     Only the graph of components that the edges link is solved, not all of it
-    again.  Its result is broadcast up to ``few`` rows; else the join may meet
-    a label of very many ids, whose rows Spark can split.
+    again.  The last join may meet a label of very many ids, whose rows Spark
+    can split.
     """
     own = labels.select(F.col("id").alias("_id"), F.col("label").alias("_label"))
     for end in ("a", "b"):
         edges = edges.join(own, F.col(end) == F.col("_id"), "left").withColumn(end, F.coalesce("_label", end)).drop("_id", "_label")
     tops = saved(components(edges), "tops")
     up = tops.select(F.col("id").alias("_low"), F.col("label").alias("_top"))
-    known = labels.join(F.broadcast(up) if tops.count() <= few else up, F.col("label") == F.col("_low"), "left").select("id", F.coalesce("_top", "label").alias("label"))
+    known = labels.join(up, F.col("label") == F.col("_low"), "left").select("id", F.coalesce("_top", "label").alias("label"))
     return known.unionByName(tops.join(labels.select("id"), "id", "left_anti"))

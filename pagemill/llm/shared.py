@@ -16,16 +16,21 @@ BLANKS = " \t\n\x0b\x0c\r"
 BLANK_RUN = r"[\x20\x09-\x0D]+"
 
 _own_dir: list[str] = []
+#: Folder of the tables made now, under the shared one, and of those made by earlier stages.
+_stage: list[str] = [""]
+_past: list[str] = []
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The shared folder named in ``spark.checkpoint.dir``; a local one of our own only where that is unset."""
+    """The shared folder named in ``spark.checkpoint.dir``; a local one of our own only where that is unset and Spark runs in one process."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir names no folder that all executors share")
         if not _own_dir:
             _own_dir.append("file://" + tempfile.mkdtemp(prefix="pagemill-"))
         base = _own_dir[0]
-    return base.rstrip("/")
+    return base.rstrip("/") + _stage[0]
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -37,7 +42,34 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._saved_at = path
+    return table
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def freed(*tables: DataFrame) -> None:
+    """Delete tables made by ``saved`` on which nothing rests any more that is still to be computed."""
+    for t in tables:
+        _delete(t.sparkSession, t._saved_at)
+
+
+def begin_stage(docs: DataFrame, name: str) -> None:
+    """Tables made from now on lie in a folder of their own; folders of earlier stages go, unless ``docs`` is still read from there."""
+    spark = docs.sparkSession
+    leaves = docs._jdf.queryExecution().analyzed().collectLeaves()
+    known = [leaves.apply(i) for i in range(leaves.size())]
+    read = " ".join(x.relation().location().rootPaths().mkString(" ") for x in known if x.getClass().getSimpleName() == "LogicalRelation" and x.relation().getClass().getSimpleName() == "HadoopFsRelation")
+    if _stage[0]:
+        _past.append(work_dir(spark))
+    for folder in [f for f in _past if f not in read]:
+        _delete(spark, folder)
+        _past.remove(folder)
+    _stage[0] = f"/{name}-{uuid.uuid4().hex}"
 
 
 def trimmed(text: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
+from .hashing import mix, string_hashes
+
 WORDS = 5
 BANDS, ROWS = 32, 4
 SAMPLES = BANDS * ROWS
@@ -15,26 +17,9 @@ _FOLD = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
 _BLANK = np.zeros(256, bool)
 _BLANK[[32, 9, 10, 11, 12, 13]] = True
 _rng = np.random.default_rng(17)
-_VALUE = _rng.integers(1, 1 << 63, 256, np.int64).view(np.uint64)
-_STEP = np.uint64(0x9E3779B97F4A7C15)
-_BACK = np.uint64(pow(int(_STEP), -1, 1 << 64))
 _MUL = (_rng.integers(0, 1 << 62, SAMPLES, np.int64).view(np.uint64) << np.uint64(1)) | np.uint64(1)
 _ADD = _rng.integers(0, 1 << 62, SAMPLES, np.int64).view(np.uint64)
 _PLACE = [np.uint64(pow(0xD1342543DE82EF95, j, 1 << 64)) for j in range(WORDS)]
-_powers: list[np.ndarray] = []
-
-
-def mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xC4CEB9FE1A85EC53)
-    return h ^ (h >> np.uint64(32))
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _powers or len(_powers[0]) <= n:
-        grow = lambda x: np.cumprod(np.concatenate([[np.uint64(1)], np.full(max(2 * n, 1 << 20), x)]))
-        _powers[:] = [grow(_STEP), grow(_BACK)]
-    return _powers[0], _powers[1]
 
 
 def shingle_sets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -43,9 +28,7 @@ def shingle_sets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     word = ~_BLANK[data]
     edge = np.flatnonzero(np.diff(word.astype(np.int8), prepend=0))
     start, end = edge[::2], edge[1::2]
-    up, down = powers(len(data) + 1)
-    total = np.concatenate([[np.uint64(0)], np.cumsum(_VALUE[_FOLD[data]] * up[: len(data)])])
-    w = mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
+    w = string_hashes(_FOLD[data], start, end)
     stop = np.cumsum([len(t) + 1 for t in texts])
     n = np.diff(np.concatenate([[0], np.searchsorted(start, stop)]))
     first = np.cumsum(n) - n
