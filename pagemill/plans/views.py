@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,7 +68,7 @@ def raster(spark: SparkSession) -> DataFrame:
 V_LINES = """lines AS (
   SELECT doc_id AS page, CAST(i AS BIGINT) AS seq, parts[i + 1] AS line
   FROM (SELECT doc_id, string_split(text, chr(10)) AS parts, unnest(range(0, len(string_split(text, chr(10))))) AS i FROM documents)
-  WHERE i < 40 AND trim(parts[i + 1]) <> '')"""
+  WHERE trim(parts[i + 1]) <> '')"""
 V_REGIONS = f"""{V_LINES}, regions AS (
   SELECT page, seq, 60 + (37 * page + 53 * seq) % 1900 AS x, 80 + 58 * (seq // 2) + (11 * page + 17 * seq) % 29 + 90 * (seq // 8) AS y,
     12 + least(3 * length(line), 700) AS w, 18 + (5 * seq + page) % 22 AS h,
@@ -75,12 +77,24 @@ V_JITTER = f"""{V_REGIONS}, jitter AS (
   SELECT page, seq, x + seq % 7 - 3 AS x, y + seq % 5 - 2 AS y, w, h, ang, len FROM regions WHERE seq % 11 <> 10)"""
 
 
+#: Characters of one byte that no text has: DuckDB's distance counts bytes, so that others are put in their place.
+_FREE = "".join(map(chr, [*range(1, 9), 11, 12, *range(14, 32)]))
+
+
+def by_characters(sql: str) -> str:
+    """``sql`` with its distances taken in characters: those beyond ASCII (28 different ones at most) stand as one byte each."""
+    free = " || ".join(f"chr({ord(x)})" for x in _FREE)
+    one = lambda x: f"translate({x}, (SELECT s FROM beyond), {free})"
+    return re.sub(r"levenshtein\((\w+), (\w+)\)", lambda m: f"levenshtein({one(m[1])}, {one(m[2])})", sql)
+
+
 def _sql_hyp(k: str) -> str:
     return f"CASE {k} WHEN 0 THEN ref WHEN 1 THEN replace(ref, ' ', '') WHEN 2 THEN lower(ref) WHEN 3 THEN replace(ref, 'e', 'c') ELSE 'x ' || substr(ref, 2, 41) END"
 
 
-V_PAIRS = f"""{V_LINES}, pairs AS (
-  SELECT *, {_sql_hyp('((page + seq) % 5)')} AS hyp FROM (SELECT page, seq, line AS ref FROM lines WHERE length(line) <= 200 AND strlen(line) = length(line)))"""
+V_PAIRS = f"""{V_LINES}, beyond AS (
+  SELECT coalesce(string_agg(ch, ''), '') AS s FROM (SELECT DISTINCT unnest(string_split(regexp_replace(text, '[\\x00-\\x7F]', '', 'g'), '')) AS ch FROM documents)), pairs AS (
+  SELECT *, {_sql_hyp('((page + seq) % 5)')} AS hyp FROM (SELECT page, seq, line AS ref FROM lines))"""
 V_TRIPLES = f"""{V_PAIRS}, triples AS (SELECT page, seq, hyp AS a, {_sql_hyp('((page + seq + 1) % 5)')} AS b, ref AS v FROM pairs)"""
 V_STEPS = """scores AS (
   SELECT vec_id, t, list_transform(range(0, 4), lambda k: CAST(embedding[CAST(4 * t + k + 1 AS INTEGER)] AS DOUBLE)) AS s FROM (SELECT vec_id, embedding, unnest(range(0, 16)) AS t FROM embeddings)),
