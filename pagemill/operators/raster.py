@@ -105,17 +105,32 @@ def median3(g: np.ndarray) -> np.ndarray:
 GAUSS = np.array([[1, 4, 7, 4, 1], [4, 16, 26, 16, 4], [7, 26, 41, 26, 7], [4, 16, 26, 16, 4], [1, 4, 7, 4, 1]])
 
 
+def _shifted(g: np.ndarray, r: int, fill=None):
+    """The page seen from each offset of a (2 r + 1)-square window: dy, dx and the neighbours; outside the edge, or ``fill``."""
+    p = np.pad(g, r, mode="edge") if fill is None else np.pad(g, r, constant_values=fill)
+    h, w = g.shape
+    for dy in range(-r, r + 1):
+        for dx in range(-r, r + 1):
+            yield dy, dx, p[r + dy : r + dy + h, r + dx : r + dx + w]
+
+
 def gauss5(g: np.ndarray) -> np.ndarray:
-    return ((_patches(g, 2).astype(np.int64) * GAUSS).sum((-1, -2)) // 273).astype(np.uint8)
+    total = np.zeros(g.shape, np.int64)
+    for dy, dx, v in _shifted(g.astype(np.int64), 2):
+        total += GAUSS[dy + 2, dx + 2] * v
+    return (total // 273).astype(np.uint8)
 
 
 def bilateral(g: np.ndarray, r: int = 3, sigma_s: float = 3.0, sigma_r: float = 30.0) -> np.ndarray:
-    v = np.pad(g.astype(float), r, constant_values=np.nan)
-    p = np.lib.stride_tricks.sliding_window_view(v, (2 * r + 1, 2 * r + 1))
-    d = np.arange(-r, r + 1)
-    near = np.exp(-(d[:, None] ** 2 + d**2) / (2 * sigma_s**2))
-    w = near * np.exp(-((p - g[..., None, None]) ** 2) / (2 * sigma_r**2))
-    return np.clip(np.nansum(w * p, (-1, -2)) / np.nansum(np.where(np.isnan(p), 0, w), (-1, -2)), 0, 255).astype(np.uint8)
+    """Neighbours outside the page don't count; one page-sized temporary an offset at a time."""
+    own = g.astype(np.float64)
+    total, weight = np.zeros(g.shape), np.zeros(g.shape)
+    for dy, dx, v in _shifted(own, r, np.nan):
+        w = np.exp(-(dy * dy + dx * dx) / (2 * sigma_s**2) - (v - own) ** 2 / (2 * sigma_r**2))
+        there = ~np.isnan(w)
+        total[there] += (w * v)[there]
+        weight[there] += w[there]
+    return np.clip(total / weight, 0, 255).astype(np.uint8)
 
 
 def profile(b: np.ndarray) -> np.ndarray:
@@ -124,26 +139,34 @@ def profile(b: np.ndarray) -> np.ndarray:
 
 
 def rotate(g: np.ndarray, degrees: float) -> np.ndarray:
-    """About the centre, bilinear, white outside."""
+    """About the centre, bilinear; a neighbour outside the page counts as white."""
     h, w = g.shape
     t = np.deg2rad(degrees)
     y, x = np.mgrid[0:h, 0:w]
     cy, cx = h / 2, w / 2
     sx, sy = np.cos(t) * (x - cx) + np.sin(t) * (y - cy) + cx, -np.sin(t) * (x - cx) + np.cos(t) * (y - cy) + cy
     x0, y0 = np.floor(sx).astype(int), np.floor(sy).astype(int)
-    ok = (x0 >= 0) & (y0 >= 0) & (x0 + 1 < w) & (y0 + 1 < h)
-    x0, y0 = np.clip(x0, 0, max(w - 2, 0)), np.clip(y0, 0, max(h - 2, 0))
     fx, fy = sx - x0, sy - y0
-    f = g.astype(float)
-    x1, y1 = np.minimum(x0 + 1, w - 1), np.minimum(y0 + 1, h - 1)
-    v = f[y0, x0] * (1 - fx) * (1 - fy) + f[y0, x1] * fx * (1 - fy) + f[y1, x0] * (1 - fx) * fy + f[y1, x1] * fx * fy
-    return np.where(ok, v, 255).astype(np.uint8)
+    wide = np.pad(g.astype(float), 1, constant_values=255)
+    at = lambda dy, dx: wide[np.clip(y0 + dy, -1, h) + 1, np.clip(x0 + dx, -1, w) + 1]
+    v = at(0, 0) * (1 - fx) * (1 - fy) + at(0, 1) * fx * (1 - fy) + at(1, 0) * (1 - fx) * fy + at(1, 1) * fx * fy
+    return np.clip(v, 0, 255).astype(np.uint8)
+
+
+def rotated_profile(b: np.ndarray, degrees: float) -> np.ndarray:
+    """``profile`` of the page turned by ``degrees``, from the ink's coordinates alone: no page is turned."""
+    y, x = np.nonzero(b == 0)
+    t = np.deg2rad(degrees)
+    h, w = b.shape
+    row = np.floor(np.sin(t) * (x - w / 2) + np.cos(t) * (y - h / 2) + h / 2 + 0.5).astype(np.int64)
+    return np.bincount(row[(row >= 0) & (row < h)], minlength=h)
 
 
 def skew(b: np.ndarray, most: float = 5.0, step: float = 0.1) -> float:
-    """The angle whose row profile varies most."""
+    """The angle whose row profile varies most, the smallest of equals."""
     angles = np.arange(-round(most / step), round(most / step) + 1) * step
-    return float(angles[int(np.argmax([profile(rotate(b, a)).var() for a in angles]))])
+    angles = angles[np.argsort(np.abs(angles), kind="stable")]
+    return float(angles[int(np.argmax([rotated_profile(b, a).var() for a in angles]))])
 
 
 def deskew(b: np.ndarray, least: float = 0.3) -> np.ndarray:
@@ -212,8 +235,19 @@ def runs(flags: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(e[::2].tolist(), e[1::2].tolist(), strict=True))
 
 
-def split_tall(comps: list[dict], ink: np.ndarray, ratio: float = 1.8) -> list[dict]:
-    """Cut components much taller than the upper median at the middles of their valleys."""
+def split_cuts(rows: np.ndarray) -> list[int]:
+    """Where a component with that many mask pixels in its rows is cut: the middles of the valleys, off the outer fifths; nowhere if it has none."""
+    h, most = len(rows), int(rows.max(initial=0))
+    margin = h // 5
+    start = max(margin, 1)
+    low = rows <= int(0.3 * most)
+    low[:start] = False
+    low[max(h - margin, start + 1) :] = False
+    return [(a + b) // 2 for a, b in runs(low)] if most else []
+
+
+def split_tall(comps: list[dict], mask: np.ndarray, ratio: float = 1.8) -> list[dict]:
+    """Cut components much taller than the upper median where the (dilated) mask has valleys."""
     heights = sorted(c["h"] for c in comps if c["h"] >= 10)
     if len(comps) < 3 or len(heights) < 3:
         return comps
@@ -223,54 +257,61 @@ def split_tall(comps: list[dict], ink: np.ndarray, ratio: float = 1.8) -> list[d
         if c["h"] <= ratio * mid or c["h"] < 10 or c["w"] < 5:
             out.append(c)
             continue
-        rows = (ink[c["y"] : c["y"] + c["h"], c["x"] : c["x"] + c["w"]] > 0).sum(1)
-        margin = c["h"] // 5
-        low = rows <= int(0.3 * rows.max(initial=0))
-        low[:margin] = False
-        low[c["h"] - margin :] = False
-        cuts = [(a + b) // 2 for a, b in runs(low)]
+        rows = (mask[c["y"] : c["y"] + c["h"], c["x"] : c["x"] + c["w"]] > 0).sum(1)
+        cuts = split_cuts(rows)
         pieces = [(a, b) for a, b in zip([0, *cuts], [*cuts, c["h"]], strict=True) if b - a >= 5]
         out += [{**c, "y": c["y"] + a, "h": b - a, "n": int(rows[a:b].sum())} for a, b in pieces] if cuts else [c]
     return out
 
 
+def words_of(columns: np.ndarray, gap: int = 4) -> list[list[int]]:
+    """Stretches of columns with ink, those less than ``gap`` apart joined; ends exclusive."""
+    words: list[list[int]] = []
+    for a, b in runs(columns):
+        if words and a - words[-1][1] < gap:
+            words[-1][1] = b
+        else:
+            words.append([a, b])
+    return words
+
+
+def trimmed_span(box: np.ndarray) -> tuple[int, int] | None:
+    """The columns of a component's ink that stay once a small word at either end that sits off the line or far from the rest is cut; None if all stay.
+
+    What is checked on the right is measured from the left cut on.
+    """
+    h, w = box.shape
+    words = words_of(box.any(axis=0))
+    if w < 60 or h < 5 or len(words) < 2:
+        return None
+    first, last, inner = words[0], words[-1], words[-2]
+    start, end = first[0], last[1]
+    small = lambda edge, body: edge[1] - edge[0] <= 80 and body >= 32 and 4 * (edge[1] - edge[0]) < body
+
+    def off_line(edge: list[int], a: int, b: int) -> bool:
+        middles = [np.nonzero(box[:, p:q])[0] for p, q in (edge, (a, b))]
+        return all(len(m) for m in middles) and abs(np.float32(middles[0].mean()) - np.float32(middles[1].mean())) > max(h / 8, 4)
+
+    if small(first, last[1] - words[1][0]) and off_line(first, words[1][0], last[1]):
+        start = words[1][0]
+    if small(last, inner[1] - start) and off_line(last, start, inner[1]):
+        end = inner[1]
+    gaps = [b[0] - a[1] for a, b in zip(words, words[1:])]
+    widest = max(gaps)
+    at = len(gaps) - 1 - gaps[::-1].index(widest)  # the last of the widest
+    second = max((g for i, g in enumerate(gaps) if i != at), default=0)
+    if widest >= 4 and not 2 * widest < 3 * second:
+        if start == first[0] and at == 0 and small(first, last[1] - words[1][0]):
+            start = words[1][0]
+        if end == last[1] and at == len(gaps) - 1 and small(last, inner[1] - start):
+            end = inner[1]
+    return (start, end) if end - start >= 32 and (start > first[0] or end < last[1]) else None
+
+
 def trim_edges(comps: list[dict], ink: np.ndarray) -> list[dict]:
     """Cut small words at either end that sit off the line or far from the rest."""
-    out = []
-    for c in comps:
-        box = ink[c["y"] : c["y"] + c["h"], c["x"] : c["x"] + c["w"]] > 0
-        words: list[list[int]] = []
-        for a, b in runs(box.any(axis=0)):
-            if words and a - words[-1][1] < 4:
-                words[-1][1] = b
-            else:
-                words.append([a, b])
-        if c["w"] < 60 or c["h"] < 5 or len(words) < 2:
-            out.append(c)
-            continue
-        start, end = words[0][0], words[-1][1]
-        body = lambda ws: ws[-1][1] - ws[0][0]
-        middle = lambda a, b: (np.nonzero(box[:, a:b])[0].mean() if box[:, a:b].any() else None)
-        fits = lambda edge, rest: (n := edge[1] - edge[0]) <= 80 and body(rest) >= 32 and 4 * n < body(rest)
-        cut = {"left": False, "right": False}
-        for side, edge, rest in (("left", words[0], words[1:]), ("right", words[-1], words[:-1])):
-            if fits(edge, rest):
-                a, b = middle(*edge), middle(rest[0][0], rest[-1][1])
-                cut[side] = a is not None and b is not None and abs(a - b) > max(c["h"] / 8, 4)
-        gap = [b[0] - a[1] for a, b in zip(words, words[1:])]
-        widest = max(gap)
-        at = len(gap) - 1 - gap[::-1].index(widest)  # the last of the widest
-        second = max([g for i, g in enumerate(gap) if i != at], default=0)
-        if widest >= 4 and not 2 * widest < 3 * second:
-            cut["left"] |= at == 0 and fits(words[0], words[1:])
-            cut["right"] |= at == len(gap) - 1 and fits(words[-1], words[:-1])
-        if cut["left"]:
-            start = words[1][0]
-        if cut["right"]:
-            end = words[-2][1]
-        trimmed = (cut["left"] or cut["right"]) and end - start >= 32
-        out.append({**c, "x": c["x"] + start, "w": end - start} if trimmed else c)
-    return out
+    spans = [trimmed_span(ink[c["y"] : c["y"] + c["h"], c["x"] : c["x"] + c["w"]] > 0) for c in comps]
+    return [c if s is None else {**c, "x": c["x"] + s[0], "w": s[1] - s[0]} for c, s in zip(comps, spans, strict=True)]
 
 
 def lines(g: np.ndarray, ink_below: int = 160) -> list[tuple[int, int, int, int]]:
@@ -314,6 +355,41 @@ def crop_line(rgb: np.ndarray, x: float, y: float, w: float, h: float, line_h: i
     return np.ascontiguousarray(((top * (1 - fy) + low * fy) / 127.5 - 1).transpose(2, 0, 1).astype(np.float32))
 
 
+def _cubic_weights(n: int, size: int) -> np.ndarray:
+    """size x n weights of cubic convolution (a = -0.5), widened when shrinking; rows sum to 1."""
+    scale = n / size
+    wide = max(scale, 1.0)
+    centre = (np.arange(size) + 0.5) * scale
+    lo = np.maximum((centre - 2 * wide + 0.5).astype(int), 0)[:, None]
+    hi = np.minimum((centre + 2 * wide + 0.5).astype(int), n)[:, None]
+    at = np.arange(n)
+    t = np.abs((at + 0.5 - centre[:, None]) / wide)
+    near, far = (1.5 * t - 2.5) * t * t + 1, ((-0.5 * t + 2.5) * t - 4) * t + 2
+    w = np.where((at >= lo) & (at < hi), np.where(t < 1, near, np.where(t < 2, far, 0.0)), 0.0)
+    return w / w.sum(axis=1, keepdims=True)
+
+
+def resize_cubic(rgb: np.ndarray, width: int, height: int) -> np.ndarray:
+    """Columns first, then rows; bytes after each, in 22-bit fixed point."""
+    out = rgb.astype(np.int64)
+    for axis, size in ((1, width), (0, height)):
+        w = np.rint(_cubic_weights(out.shape[axis], size) * (1 << 22)).astype(np.int64)
+        out = np.moveaxis(np.tensordot(w, out, axes=(1, axis)), 0, axis)
+        out = np.clip((out + (1 << 21)) >> 22, 0, 255)
+    return out.astype(np.uint8)
+
+
+def fit_width(rgb: np.ndarray, line_h: int = 32, width: int = 384) -> np.ndarray:
+    """A line scaled to ``line_h`` and padded with gray 128 to ``width``, or squeezed to it if wider; 3 x h x w, -1 to 1."""
+    h, w = rgb.shape[:2]
+    out = np.full((line_h, width, 3), 128, np.uint8)
+    if h and w:
+        tw = min(round(w * (line_h / h)), width)
+        if tw:
+            out[:, :tw] = resize_cubic(rgb, tw, line_h)
+    return np.ascontiguousarray((out / 127.5 - 1).transpose(2, 0, 1).astype(np.float32))
+
+
 def masks(rgb: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The detector's dilated mask and the ink before dilation."""
     ink = adaptive_threshold(blur(gray(rgb)))
@@ -324,7 +400,7 @@ def detect(rgb: np.ndarray) -> list[dict]:
     if not rgb.size:
         return []
     wide, ink = masks(rgb)
-    return trim_edges(split_tall(components(wide), ink), ink)
+    return trim_edges(split_tall(components(wide), wide), ink)
 
 
 def on_pages(pages: DataFrame, kernel: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
@@ -341,25 +417,49 @@ def on_pages(pages: DataFrame, kernel: Callable[[np.ndarray], np.ndarray]) -> Da
     return pages.select("page", "width", "height", "channels", "data").mapInArrow(run, "page long, width int, height int, channels int, data binary")
 
 
-def detect_pages(pages: DataFrame) -> DataFrame:
-    """page, seq, x, y, w, h, n, ang of every detected component."""
+def _component_rows(pages: DataFrame, find: Callable[[np.ndarray], list[dict]]) -> DataFrame:
+    names = ("x", "y", "w", "h", "n")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ("x", "y", "w", "h", "n")
         for batch in it:
-            for i in range(batch.num_rows):
-                h, w, ch = (batch.column(c)[i].as_py() for c in ("height", "width", "channels"))
-                img = np.frombuffer(batch.column("data")[i].as_py(), np.uint8).reshape(h, w, ch)
-                found = detect(np.repeat(img, 3, axis=2) if ch == 1 else img[..., :3])
-                page = batch.column("page")[i].as_py()
+            for page, h, w, ch, data in zip(*(batch.column(c).to_pylist() for c in ("page", "height", "width", "channels", "data")), strict=True):
+                found = find(np.frombuffer(data, np.uint8).reshape(h, w, ch))
                 cols = [pa.array([page] * len(found), pa.int64()), pa.array(range(len(found)), pa.int64()), *(pa.array([f[c] for f in found], pa.int64()) for c in names), pa.array([f["ang"] for f in found], pa.float64())]
                 yield pa.RecordBatch.from_arrays(cols, ["page", "seq", *names, "ang"])
 
-    return pages.mapInArrow(run, "page long, seq long, x long, y long, w long, h long, n long, ang double")
+    return pages.select("page", "height", "width", "channels", "data").mapInArrow(run, "page long, seq long, x long, y long, w long, h long, n long, ang double")
+
+
+def detect_pages(pages: DataFrame) -> DataFrame:
+    """page, seq, x, y, w, h, n, ang of every detected component."""
+    return _component_rows(pages, lambda img: detect(np.repeat(img, 3, axis=2) if img.shape[2] == 1 else img[..., :3]))
+
+
+def component_table(pages: DataFrame) -> DataFrame:
+    """page, seq, x, y, w, h, n, ang of every connected component of one-channel pages."""
+    return _component_rows(pages, lambda img: components(img[..., 0]))
+
+
+def cuts_of(profiles: DataFrame, key: str) -> DataFrame:
+    """key, cut: where components with these row profiles are cut."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            cuts = [split_cuts(np.array(p, np.int64)) for p in batch.column("profile").to_pylist()]
+            of = [k for k, c in zip(batch.column(key).to_pylist(), cuts, strict=True) for _ in c]
+            yield pa.RecordBatch.from_arrays([pa.array(of, pa.int64()), pa.array([x for c in cuts for x in c], pa.int64())], [key, "cut"])
+
+    return profiles.select(key, "profile").mapInArrow(run, f"{key} long, cut long")
 
 
 def pixels(pages: DataFrame, name: str = "v") -> DataFrame:
     """page, y, x and the value of each pixel of one-channel pages."""
-    bytes_ = F.transform(F.sequence(F.lit(0), F.length("data") - 1), lambda i: F.conv(F.hex(F.substring(F.col("data"), i + 1, F.lit(1))), 16, 10).cast("bigint"))
-    flat = pages.select("page", "width", F.posexplode(bytes_).alias("_i", name))
-    return flat.select("page", F.floor(F.col("_i") / F.col("width")).alias("y"), (F.col("_i") % F.col("width")).cast("bigint").alias("x"), name)
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            for page, w, data in zip(*(batch.column(c).to_pylist() for c in ("page", "width", "data")), strict=True):
+                v = np.frombuffer(data, np.uint8).astype(np.int64)
+                y, x = np.divmod(np.arange(len(v)), max(w, 1))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), page)), pa.array(y), pa.array(x), pa.array(v)], ["page", "y", "x", name])
+
+    return pages.select("page", "width", "data").mapInArrow(run, f"page long, y long, x long, {name} long")
