@@ -83,3 +83,32 @@ def decoded(df: DataFrame, steps: str = "steps") -> DataFrame:
     """``df`` with n_chars, tokens, ps, pos and confidence of a CTC line."""
     d = df.withColumn("_c", ctc_decode(F.col(steps)))
     return d.withColumns({"tokens": F.col("_c.token"), "ps": F.col("_c.p"), "pos": F.col("_c.pos")}).withColumn("confidence", confidence(F.col("ps"))).drop("_c")
+
+
+def _cut(df: DataFrame, first: Column, n: Column) -> DataFrame:
+    """``df`` (text, tokens, ps, pos, confidence as they are there) cut to ``n`` characters from index ``first``; the confidence is taken anew where anything goes."""
+    d = df.withColumn("_f", first.cast("int")).withColumn("_n", n.cast("int"))
+    d = d.withColumn("_w", (F.col("_f") == 0) & (F.col("_n") == F.length("text")))
+    part = {k: F.slice(F.col(k), F.col("_f") + 1, F.greatest(F.col("_n"), F.lit(0))) for k in ("tokens", "ps", "pos") if k in df.columns}
+    d = d.withColumns({**part, "text": F.substring(F.col("text"), F.col("_f") + 1, F.greatest(F.col("_n"), F.lit(0)))})
+    return d.withColumn("confidence", F.when(F.col("_w"), F.col("confidence")).otherwise(confidence(F.col("ps")))).drop("_f", "_n", "_w")
+
+
+def trim_trailing(df: DataFrame) -> DataFrame:
+    """Lines without the few characters behind a late wide gap, nor the spaces that then end them; text, ps, pos and confidence go together."""
+    kept = F.col("_k")
+    d = df.withColumn("_k", trailing_cut(F.col("pos")).cast("int"))
+    bare = F.length(F.rtrim(F.substring(F.col("text"), F.lit(1), kept)))
+    d = d.withColumn("_k", F.when((kept < F.size("pos")) & (bare >= 1), bare).otherwise(F.length("text")))
+    return _cut(d, F.lit(0), F.col("_k")).drop("_k")
+
+
+def strip_spaces(df: DataFrame) -> DataFrame:
+    """Lines without the spaces at either end; a line of spaces only becomes empty, with confidence 0."""
+    start = F.length("text") - F.length(F.ltrim("text"))
+    return _cut(df.withColumn("_s", start), F.col("_s"), F.length(F.trim("text"))).drop("_s")
+
+
+def text_of(tokens: Column, alphabet: str, unknown: str = "\ufffd") -> Column:
+    """The characters of 0-based tokens; U+FFFD for one that the alphabet doesn't have."""
+    return F.array_join(F.transform(tokens, lambda t: F.when((t >= 0) & (t < len(alphabet)), F.substring(F.lit(alphabet), t.cast("int") + 1, F.lit(1))).otherwise(F.lit(unknown))), "")

@@ -128,3 +128,70 @@ def assemble(lines: DataFrame, pages: DataFrame | None = None) -> DataFrame:
     if pages is None:
         return g
     return pages.select("page").join(g, "page", "left").select("page", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("n_lines", F.lit(0)).alias("n_lines"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"))
+
+
+def zipped(left: DataFrame, right: DataFrame, of: str = "page", k: str = "k") -> DataFrame:
+    """Two results joined by page and line number; it is an error if a page that both have differs in its number of lines.  Pages of one side only are left out."""
+    counts = left.groupBy(of).agg(F.count("*").alias("_l")).join(right.groupBy(of).agg(F.count("*").alias("_r")), of)
+    wrong = F.raise_error(F.concat(F.lit("line counts differ on page "), c(of).cast("string")))
+    checked = counts.select(of, F.when(c("_l") != c("_r"), wrong).otherwise(F.lit(True)).alias("_same")).filter("_same")
+    return left.join(right, [of, k]).join(checked, of, "left").filter("_same").drop("_same")
+
+
+def siblings(df: DataFrame, *arrays: str, at: str = "k") -> DataFrame:
+    """A row an index of arrays that belong together; shorter ones give null."""
+    keep = [x for x in df.columns if x not in arrays]
+    return df.select(*keep, F.posexplode(F.arrays_zip(*arrays)).alias(at, "_z")).select(*keep, at, *[c("_z").getField(x).alias(x) for x in arrays])
+
+
+def gathered(results: DataFrame, regions: DataFrame, key: list[str]) -> DataFrame:
+    """Every region with its result, by the key that it was sent under; null where none came back."""
+    return regions.join(results, key, "left")
+
+
+def required(rows: DataFrame, known: DataFrame, key: str) -> DataFrame:
+    """``rows`` joined with what is known of their ``key``; it is an error if that isn't there."""
+    mark = known.withColumn("_there", F.lit(True))
+    d = rows.join(mark, key, "left")
+    return d.filter(F.when(c("_there").isNull(), F.raise_error(F.concat(F.lit(f"no such {key}: "), c(key).cast("string"))).cast("boolean")).otherwise(F.lit(True))).drop("_there")
+
+
+def agreement_by_page(p: DataFrame) -> DataFrame:
+    """By page: lines, how many a and b agree on, and the percentage."""
+    return p.groupBy("page").agg(F.count("*").alias("n"), _count(c("a") == c("b")).alias("agree")).withColumn("percent", r6(100 * c("agree") / c("n")))
+
+
+def throughput(times: DataFrame, by: str, ms: str) -> DataFrame:
+    """By ``by``: n, total and mean milliseconds, and how many a second; 0 for no time."""
+    d = times.groupBy(by).agg(F.count("*").alias("n"), F.round(F.sum(ms), 4).alias("total"))
+    return d.withColumns({"mean": r6(c("total") / c("n")), "a_second": r6(F.when(c("total") > 0, 1000 * c("n") / c("total")).otherwise(0.0))})
+
+
+def progress(done: Column, total: Column, seconds: Column) -> Column:
+    """struct(rate, eta): items a second, and seconds until all are done; 0 where nothing can be said."""
+    rate = F.when(seconds > 0, done / seconds).otherwise(F.lit(0.0))
+    return F.struct(rate.alias("rate"), F.when(rate > 0, (total - done) / rate).otherwise(F.lit(0.0)).alias("eta"))
+
+
+#: Letters that readers mistake for one another (fixed values).
+CONFUSION_PAIRS = ["aå", "aä", "åä", "oö", "oø", "öø", "AÅ", "AÄ", "ÅÄ", "OÖ", "OØ", "ÖØ"]
+
+
+def confusion_rates(p: DataFrame, pairs=CONFUSION_PAIRS) -> DataFrame:
+    """For each pair of letters: how often either stands in the reference, how often the other was read instead, and the share."""
+    table = p.sparkSession.createDataFrame([(x, y, x + y) for z in pairs for x, y in (z, z[::-1])], "ref string, other string, pair string")
+    table = table.withColumn("pair", F.when(c("pair").isin(*pairs), c("pair")).otherwise(F.reverse("pair")))
+    seen = _positions(p).filter(c("ref").isin(*sorted({x for z in pairs for x in z}))).groupBy("ref", "hyp").agg(F.count("*").alias("_n"))
+    g = table.join(F.broadcast(seen), "ref", "left").groupBy("pair").agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("total"), F.coalesce(F.sum(F.when(c("hyp") == c("other"), c("_n"))), F.lit(0)).alias("confused"))
+    return g.withColumn("rate", r6(F.when(c("total") > 0, c("confused") / c("total")).otherwise(0.0)))
+
+
+def nordic_cer(p: DataFrame) -> DataFrame:
+    """micro_cer over the reference's words that hold a letter beyond a-z of the charset, each against the hypothesis' word at its place (empty if there is none)."""
+    words = lambda k: F.filter(F.split(k, r"\s+"), lambda w: w != "").alias(k)
+    w = siblings(p.select("page", "seq", words("ref"), words("hyp")), "ref", "hyp").filter(T.has_nordic(c("ref")))
+    return micro_cer(w.withColumn("hyp", F.coalesce("hyp", F.lit(""))))
+
+
+def display(text: Column, n: int = 60) -> Column:
+    return F.left(F.trim(text), F.lit(n))

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from pagemill.functions.groups import whole_groups
+from pagemill.operators.curate import positions
+
 PAGE_W, PAGE_H = 2480, 3508
 c = F.col
 
@@ -103,6 +109,13 @@ def clusters(df: DataFrame, gap: float = 80) -> DataFrame:
     return df.join(numbered, ["page", "row"], "left")
 
 
+def filter_and_cluster(df: DataFrame, padding: int = 8) -> DataFrame:
+    """From components (page, seq, x, y, w, h, ang, page_w, page_h) to text regions: those of a fit size, place and angle, padded, with ord (top down, then left to right), row, col and cluster."""
+    w, h = c("page_w"), c("page_h")
+    kept = df.filter(size_ok() & margin_ok(page_w=w, page_h=h) & rotation_ok())
+    return clusters(columns(assign_rows(reading_order(pad(kept, padding, w, h)))))
+
+
 def iou(a: str = "a", b: str = "b") -> Column:
     """Intersection over union of the boxes in struct columns."""
     side = lambda p, s: F.least(c(f"{a}.{p}") + c(f"{a}.{s}"), c(f"{b}.{p}") + c(f"{b}.{s}")) - F.greatest(c(f"{a}.{p}"), c(f"{b}.{p}"))
@@ -127,35 +140,85 @@ def radius_pairs(left: DataFrame, right: DataFrame, radius: float = 100.0) -> Da
     return lt.join(rt, ["page", "_gx", "_gy"]).withColumn("dist", d).filter(c("dist") < radius).select("page", "lseq", "rseq", "dist")
 
 
-def greedy_match(pairs: DataFrame) -> DataFrame:
-    """One-to-one matches by page: nearest pairs first, ties by left then right number."""
+def overlap_pairs(left: DataFrame, right: DataFrame, cell_w: int = 256, cell_h: int = 64) -> DataFrame:
+    """page, lseq, rseq, a, b (boxes) of regions that overlap.
+
+    A region enters every cell of a grid that it touches, so that the join is
+    an equi-join; a pair is given by the cell of its intersection's corner only.
+    """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        used_l, used_r, keep = set(), set(), []
-        for i, (a, b) in enumerate(zip((pdf := pdf.sort_values(["dist", "lseq", "rseq"], kind="stable"))["lseq"], pdf["rseq"], strict=True)):
-            if a not in used_l and b not in used_r:
-                used_l.add(a)
-                used_r.add(b)
-                keep.append(i)
-        return pdf.iloc[keep][["page", "lseq", "rseq", "dist"]]
+    def cells(df: DataFrame, seq: str, box: str) -> DataFrame:
+        span = lambda at, size, cell: F.sequence(F.floor(c(at) / cell), F.floor((c(at) + c(size)) / cell))
+        d = df.select("page", c("seq").alias(seq), F.struct("x", "y", "w", "h").alias(box), F.explode(span("x", "w", cell_w)).alias("_gx"), *[c(k) for k in "yh"])
+        return d.withColumn("_gy", F.explode(span("y", "h", cell_h))).drop("y", "h")
 
-    return pairs.groupBy("page").applyInPandas(run, "page long, lseq long, rseq long, dist double")
+    d = cells(left, "lseq", "a").join(cells(right, "rseq", "b"), ["page", "_gx", "_gy"])
+    corner = (F.floor(F.greatest("a.x", "b.x") / cell_w) == c("_gx")) & (F.floor(F.greatest("a.y", "b.y") / cell_h) == c("_gy"))
+    apart = lambda p, s: F.least(c(f"a.{p}") + c(f"a.{s}"), c(f"b.{p}") + c(f"b.{s}")) <= F.greatest(c(f"a.{p}"), c(f"b.{p}"))
+    return d.filter(corner & ~apart("x", "w") & ~apart("y", "h")).select("page", "lseq", "rseq", "a", "b")
+
+
+def _first_free(page: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Of edges in their order of preference those that a pass takes which takes an edge if both its ends are free.
+
+    An edge that is the first one left for both its ends is taken, whatever
+    comes in between: all of those go at once, until no edge is left.
+    """
+    ends = [np.unique(np.stack([page, side]), axis=1, return_inverse=True)[1].ravel() for side in (left, right)]
+    live, taken = np.arange(len(page)), []
+    while len(live):
+        best = np.ones(len(live), bool)
+        for end in ends:
+            first = np.zeros(len(live), bool)
+            first[np.unique(end[live], return_index=True)[1]] = True
+            best &= first
+        hit = live[best]
+        taken.append(hit)
+        for end in ends:
+            live = live[~np.isin(end[live], end[hit])]
+    return np.sort(np.concatenate(taken)) if taken else live
+
+
+def _matched(pairs: DataFrame, order: list[str]) -> DataFrame:
+    """One-to-one matches by page, edges taken in the order given; many pages at a time."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_groups(it, "page"):
+            col = {k: t.column(k).to_numpy() for k in ("page", "lseq", "rseq", "dist")}
+            keep = _first_free(col["page"], col["lseq"], col["rseq"])
+            yield pa.RecordBatch.from_arrays([pa.array(v[keep]) for v in col.values()], list(col))
+
+    rows = pairs.repartition("page").sortWithinPartitions("page", *order).select("page", "lseq", "rseq", "dist")
+    return rows.mapInArrow(run, "page long, lseq long, rseq long, dist double")
+
+
+def greedy_match(pairs: DataFrame) -> DataFrame:
+    """One-to-one matches by page: nearest pairs first, ties by left then right number."""
+    return _matched(pairs, ["dist", "lseq", "rseq"])
 
 
 def sequential_match(pairs: DataFrame, order: DataFrame) -> DataFrame:
     """Each left region, by the order given (page, lseq, ord), takes its nearest right region that is still free."""
+    return _matched(pairs.join(order, ["page", "lseq"]), ["ord", "lseq", "dist", "rseq"])
+
+
+def detection_scores(matches: DataFrame, n_found: DataFrame, n_true: DataFrame) -> DataFrame:
+    """tp, precision, recall, f1 from one-to-one matches and both sides' regions; 0 where a side is empty."""
+    n = lambda df, k: df.agg(F.count("*").alias(k))
+    d = n(matches, "tp").crossJoin(n(n_found, "n_found")).crossJoin(n(n_true, "n_true"))  # three single rows
+    share = lambda a, b: F.round(F.when(b > 0, a / b).otherwise(0.0), 6)
+    return d.select("tp", share(c("tp"), c("n_found")).alias("precision"), share(c("tp"), c("n_true")).alias("recall"), share(2 * c("tp"), c("n_found") + c("n_true")).alias("f1"))
+
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        used, keep = set(), []
-        for _, g in pdf.sort_values(["ord", "lseq", "dist", "rseq"], kind="stable").groupby(["ord", "lseq"], sort=True):
-            for r in g.itertuples():
-                if r.rseq not in used:
-                    used.add(r.rseq)
-                    keep.append((r.page, r.lseq, r.rseq, r.dist))
-                    break
-        return pd.DataFrame(keep, columns=["page", "lseq", "rseq", "dist"])
+def largest(df: DataFrame, by: Column, n: int = 1000) -> DataFrame:
+    """Each page's ``n`` regions of greatest ``by``, ties to smaller numbers."""
+    return df.withColumn("_k", F.row_number().over(W.partitionBy("page").orderBy(F.desc(by), "seq"))).filter(c("_k") <= n).drop("_k")
 
-    return pairs.join(order, ["page", "lseq"]).groupBy("page").applyInPandas(run, "page long, lseq long, rseq long, dist double")
+
+def disorders(df: DataFrame, value: str = "y") -> DataFrame:
+    """How many regions in the order ``ord`` lie above the one before them: 0 for a sorted page."""
+    before = F.lag(value).over(W.partitionBy("page").orderBy("ord"))
+    return df.withColumn("_b", before).agg(F.coalesce(F.sum((c("_b") > c(value)).cast("bigint")), F.lit(0)).alias("disorders"))
 
 
 def width_plan(df: DataFrame, line_h: int = 32, cap: int = 1792) -> DataFrame:
@@ -164,20 +227,33 @@ def width_plan(df: DataFrame, line_h: int = 32, cap: int = 1792) -> DataFrame:
     return df.withColumn("line_w", F.greatest(F.least(w - w % 4, F.lit(cap)), F.lit(4)).cast("bigint"))
 
 
-def width_batches(df: DataFrame, size: int = 64, parts: int = 64) -> DataFrame:
-    """Batches of ``size`` lines of like width, numbered over the whole input: batch, batch_w, item_w.
-
-    Positions come from counts by width plus a place within the width, so that
-    no task sorts everything.
-    """
-    counts = df.groupBy("line_w").agg(F.count("*").alias("_n"))  # a row a width: 448 at most
-    base = counts.select("line_w", (F.sum("_n").over(W.partitionBy(F.lit(0)).orderBy("line_w")) - c("_n")).alias("_base"))
-    place = F.row_number().over(W.partitionBy("line_w").orderBy("page", "seq")) - 1
-    d = df.join(F.broadcast(base), "line_w").withColumn("batch", F.floor((c("_base") + place) / size).cast("bigint")).drop("_base")
+def width_batches(df: DataFrame, size: int = 64) -> DataFrame:
+    """Batches of ``size`` lines of like width, numbered over the whole input: batch, batch_w, item_w."""
+    d = positions(df, ["line_w", "page", "seq"]).withColumn("batch", F.floor((c("n") - 1) / size).cast("bigint")).drop("n")
     d = d.withColumn("batch_w", F.max("line_w").over(W.partitionBy("batch")))
     return d.withColumn("item_w", F.least("line_w", "batch_w"))
 
 
 def equal_width_batches(df: DataFrame, size: int = 64) -> DataFrame:
-    at = F.row_number().over(W.partitionBy("line_w").orderBy("page", "seq")) - 1
-    return df.withColumn("chunk", F.floor(at / size).cast("bigint"))
+    """``chunk``: batches of ``size`` lines of one width, numbered by width; a line's place is its overall one less that of its width's first."""
+    d = positions(df, ["line_w", "page", "seq"])
+    first = d.groupBy("line_w").agg(F.min("n").alias("_first"))
+    return d.join(first, "line_w").withColumn("chunk", F.floor((c("n") - c("_first")) / size).cast("bigint")).drop("n", "_first")
+
+
+def near_width_batches(df: DataFrame, variance: int, size: int = 64) -> DataFrame:
+    """``chunk`` by page: in order of width a line joins the current batch while that has fewer than ``size`` lines and the line is at most ``variance`` wider than its first.
+
+    One fold a page over its sorted lines.
+    """
+    items = F.array_sort(F.collect_list(F.struct("line_w", c("seq").alias("s"))))
+    start = F.struct(F.lit(0).cast("bigint").alias("base"), F.lit(0).alias("n"), F.lit(-1).alias("chunk"), F.array().cast("array<int>").alias("out"))
+
+    def step(a: Column, i: Column) -> Column:
+        joins = (a["n"] > 0) & (a["n"] < size) & (i["line_w"] - a["base"] <= variance)
+        chunk = F.when(joins, a["chunk"]).otherwise(a["chunk"] + 1)
+        return F.struct(F.when(joins, a["base"]).otherwise(i["line_w"].cast("bigint")).alias("base"), F.when(joins, a["n"] + 1).otherwise(F.lit(1)).alias("n"), chunk.alias("chunk"), F.concat(a["out"], F.array(chunk)).alias("out"))
+
+    rows = df.groupBy("page").agg(items.alias("_i")).withColumn("_o", F.aggregate("_i", start, step)["out"])
+    flat = rows.select("page", F.explode(F.arrays_zip(c("_i.s").alias("seq"), c("_o").alias("chunk"))).alias("_z"))
+    return df.join(flat.select("page", c("_z.seq").alias("seq"), c("_z.chunk").cast("bigint").alias("chunk")), ["page", "seq"])

@@ -22,7 +22,7 @@ c = F.col
 def _add(name: str, build: Builder, sql: str | None = None) -> None:
     _QUERIES[name] = build
     if sql:
-        _ORACLES[name] = sql
+        _ORACLES[name] = V.by_characters(sql)
 
 
 def queries() -> dict[str, Builder]:
@@ -87,7 +87,7 @@ _add(
 )
 _add(
     "page_set_parse",
-    lambda s, sf: V.table(s, sf, "benchmark").select("item_id", F.array_join(F.filter(F.transform(F.split(F.concat(c("item_id").cast("string"), F.lit(",x, 7")), ","), lambda t: F.expr("1") * F.try_to_number(F.trim(t), F.lit("999999999"))), lambda v: v.isNotNull()).cast("array<int>").cast("array<string>"), ",").alias("pages")),
+    lambda s, sf: V.table(s, sf, "benchmark").select("item_id", F.array_join(curate.page_set(F.concat(c("item_id").cast("string"), F.lit(",x, 7"))).cast("array<string>"), ",").alias("pages")),
     "SELECT item_id, item_id || ',7' AS pages FROM benchmark",
 )
 _add("lmdb_keys", lambda s, sf: sinks.numbered(V.table(s, sf, "documents").select("doc_id"), ["doc_id"]).select("doc_id", "image_key", "label_key"), "SELECT doc_id, format('image-{:09d}', n) AS image_key, format('label-{:09d}', n) AS label_key FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS n FROM documents)")
@@ -145,15 +145,13 @@ _add(
 _add("expand_box", lambda s, sf: regions.expand(V.regions(s, sf)).select(*_COLS), f"WITH {V.V_REGIONS} SELECT page, seq, greatest(x + w / 2 - w * 1.5::DOUBLE / 2, 0) AS x, greatest(y + h / 2 - h * 1.5::DOUBLE / 2, 0) AS y, w * 1.5::DOUBLE AS w, h * 1.5::DOUBLE AS h FROM regions")
 _add(
     "neural_postfilter",
-    lambda s, sf: V.regions(s, sf).filter(((c("x") * 7 + c("y")) % 100 >= 30) & (c("w") * c("h") >= 100)).withColumn("_k", F.row_number().over(W.partitionBy("page").orderBy(F.desc(c("w") * c("h")), "seq"))).filter("_k <= 1000").select(*_COLS),
+    lambda s, sf: regions.largest(V.regions(s, sf).filter(((c("x") * 7 + c("y")) % 100 >= 30) & (c("w") * c("h") >= 100)), c("w") * c("h")).select(*_COLS),
     f"WITH {V.V_REGIONS} SELECT page, seq, x, y, w, h FROM (SELECT *, row_number() OVER (PARTITION BY page ORDER BY w * h DESC, seq) AS k FROM regions WHERE (x * 7 + y) % 100 >= 30 AND w * h >= 100) WHERE k <= 1000",
 )
 
 
 def _page_pairs(s: SparkSession, sf: str) -> DataFrame:
-    box = F.struct("x", "y", "w", "h")
-    a = V.regions(s, sf).select("page", c("seq").alias("lseq"), box.alias("a"))
-    return a.join(V.jitter(s, sf).select("page", c("seq").alias("rseq"), box.alias("b")), "page")
+    return regions.overlap_pairs(V.regions(s, sf), V.jitter(s, sf))
 
 
 _add(
@@ -167,8 +165,28 @@ _near = lambda s, sf: regions.radius_pairs(V.regions(s, sf), V.jitter(s, sf))  #
 _add("radius_pairs", lambda s, sf: _near(s, sf).withColumn("dist", F.round("dist", 6)), f"{_RADIUS} SELECT page, lseq, rseq, round(dist, 6) AS dist FROM near")
 _add("unmatched_left", lambda s, sf: V.regions(s, sf).select("page", "seq").join(_near(s, sf).select("page", c("lseq").alias("seq")), ["page", "seq"], "left_anti"), f"{_RADIUS} SELECT page, seq FROM regions r WHERE NOT EXISTS (SELECT 1 FROM near n WHERE n.page = r.page AND n.lseq = r.seq)")
 _add("unmatched_right", lambda s, sf: V.jitter(s, sf).select("page", "seq").join(_near(s, sf).select("page", c("rseq").alias("seq")), ["page", "seq"], "left_anti"), f"{_RADIUS} SELECT page, seq FROM jitter r WHERE NOT EXISTS (SELECT 1 FROM near n WHERE n.page = r.page AND n.rseq = r.seq)")
-_add("greedy_match", lambda s, sf: regions.greedy_match(_near(s, sf)))
-_add("sequential_match", lambda s, sf: regions.sequential_match(_near(s, sf), V.regions(s, sf).select("page", c("seq").alias("lseq"), (-c("w")).alias("ord"))))
+
+
+def _one_to_one(edges: str, order: str, out: str = "SELECT page, lseq, rseq, round(dist, 6) AS dist FROM f WHERE hit") -> str:
+    """SQL that goes through each page's edges (CTE ``edges``: page, lseq, rseq, dist) in an order and takes those whose ends are free."""
+    ok = "NOT list_contains(f.ul, e.lseq) AND NOT list_contains(f.ur, e.rseq)"
+    return f""", e AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY {order}) AS k FROM {edges}),
+f AS (SELECT page, k, lseq, rseq, dist, true AS hit, [lseq] AS ul, [rseq] AS ur FROM e WHERE k = 1
+  UNION ALL
+  SELECT e.page, e.k, e.lseq, e.rseq, e.dist, {ok}, CASE WHEN {ok} THEN list_append(f.ul, e.lseq) ELSE f.ul END, CASE WHEN {ok} THEN list_append(f.ur, e.rseq) ELSE f.ur END
+  FROM f JOIN e ON e.page = f.page AND e.k = f.k + 1)
+{out}"""
+
+
+_rounded = lambda df: df.withColumn("dist", F.round("dist", 6))
+_RECURSIVE = _RADIUS.replace("WITH ", "WITH RECURSIVE ", 1)
+_GREEDY = _one_to_one("near", "dist, lseq, rseq", "")
+_add("greedy_match", lambda s, sf: _rounded(regions.greedy_match(_near(s, sf))), _RECURSIVE + _one_to_one("near", "dist, lseq, rseq"))
+_add(
+    "sequential_match",
+    lambda s, sf: _rounded(regions.sequential_match(_near(s, sf), V.regions(s, sf).select("page", c("seq").alias("lseq"), (-c("w")).alias("ord")))),
+    _RECURSIVE + ", wide AS (SELECT n.*, r.w FROM near n JOIN regions r ON r.page = n.page AND r.seq = n.lseq)" + _one_to_one("wide", "w DESC, lseq, dist, rseq"),
+)
 
 
 def _deltas(s: SparkSession, sf: str) -> DataFrame:
@@ -180,18 +198,30 @@ def _deltas(s: SparkSession, sf: str) -> DataFrame:
     return m.agg(F.count("*").alias("n"), F.count("rseq").alias("matched"), F.sum((far | off).cast("bigint")).alias("shifted")).withColumn("matched_percent", F.round(100 * c("matched") / c("n"), 6))
 
 
-_add("detection_deltas", _deltas)
+_add(
+    "detection_deltas",
+    _deltas,
+    _RECURSIVE
+    + _GREEDY
+    + """, m AS (SELECT a.*, b.x AS jx, b.y AS jy, b.w AS jw, b.h AS jh, b.seq AS jseq FROM regions a LEFT JOIN (SELECT * FROM f WHERE hit) g ON g.page = a.page AND g.lseq = a.seq LEFT JOIN jitter b ON b.page = g.page AND b.seq = g.rseq)
+SELECT count(*) AS n, count(jseq) AS matched, CAST(sum(CASE WHEN greatest(abs(x - jx), abs(y - jy)) > 20 OR greatest(abs(w - jw), abs(h - jh)) > 40 THEN 1 ELSE 0 END) AS BIGINT) AS shifted, round(100 * count(jseq) / count(*), 6) AS matched_percent FROM m""",
+)
 
 
 def _detection_f1(s: SparkSession, sf: str) -> DataFrame:
     near = _page_pairs(s, sf).withColumn("dist", 1 - regions.iou()).filter("dist <= 0.5").select("page", "lseq", "rseq", "dist")
-    n = lambda df, k: df.agg(F.count("*").alias(k))
-    d = n(regions.greedy_match(near), "tp").crossJoin(n(V.jitter(s, sf), "n_found")).crossJoin(n(V.regions(s, sf), "n_true"))
-    share = lambda a, b: F.round(F.when(b > 0, a / b).otherwise(0.0), 6)
-    return d.select("tp", share(c("tp"), c("n_found")).alias("precision"), share(c("tp"), c("n_true")).alias("recall"), share(2 * c("tp"), c("n_found") + c("n_true")).alias("f1"))
+    return regions.detection_scores(regions.greedy_match(near), V.jitter(s, sf), V.regions(s, sf))
 
 
-_add("detection_f1", _detection_f1)
+_add(
+    "detection_f1",
+    _detection_f1,
+    f"""WITH RECURSIVE {V.V_JITTER}, p AS (SELECT a.page, a.seq AS lseq, b.seq AS rseq, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x) AS dw, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y) AS dh, a.w * a.h + b.w * b.h AS areas FROM regions a JOIN jitter b ON a.page = b.page),
+near AS (SELECT page, lseq, rseq, 1 - dw * dh / (areas - dw * dh)::DOUBLE AS dist FROM p WHERE dw > 0 AND dh > 0 AND 1 - dw * dh / (areas - dw * dh)::DOUBLE <= 0.5)"""
+    + _GREEDY
+    + """, n AS (SELECT (SELECT count(*) FROM f WHERE hit) AS tp, (SELECT count(*) FROM jitter) AS found, (SELECT count(*) FROM regions) AS truth)
+SELECT tp, round(tp / greatest(found, 1)::DOUBLE, 6) AS precision, round(tp / greatest(truth, 1)::DOUBLE, 6) AS recall, round(2 * tp / greatest(found + truth, 1)::DOUBLE, 6) AS f1 FROM n""",
+)
 _PLAN = f"WITH {V.V_REGIONS}, q AS (SELECT *, greatest(CAST(round(w * 32 / h::DOUBLE) AS BIGINT), 4) AS rw FROM regions), plan AS (SELECT * EXCLUDE (rw), greatest(least(rw - rw % 4, 1792), 4) AS line_w FROM q)"
 _plan = lambda s, sf: regions.width_plan(V.regions(s, sf))
 _BATCH = f"{_PLAN}, n AS (SELECT page, seq, line_w, (row_number() OVER (ORDER BY line_w, page, seq) - 1) // 64 AS batch FROM plan), b AS (SELECT *, max(line_w) OVER (PARTITION BY batch) AS batch_w FROM n)"
@@ -201,9 +231,9 @@ _add("padding_waste", lambda s, sf: regions.width_batches(_plan(s, sf)).agg(F.co
 _add("equal_width_batches", lambda s, sf: regions.equal_width_batches(_plan(s, sf)).select("page", "seq", "line_w", "chunk"), f"{_PLAN} SELECT page, seq, line_w, (row_number() OVER (PARTITION BY line_w ORDER BY page, seq) - 1) // 64 AS chunk FROM plan")
 _add("round_robin", lambda s, sf: V.table(s, sf, "documents").groupBy((c("doc_id") % 4).alias("stream")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first")), "SELECT doc_id % 4 AS stream, count(*) AS n, min(doc_id) AS first FROM documents GROUP BY 1")
 _add("page_batches", lambda s, sf: V.table(s, sf, "documents").select("doc_id", F.floor(c("doc_id") / 8).alias("batch")), "SELECT doc_id, doc_id // 8 AS batch FROM documents")
-_add("sort_check", lambda s, sf: regions.reading_order(V.regions(s, sf)).withColumn("_b", F.lag("y").over(W.partitionBy("page").orderBy("ord"))).agg(F.sum((c("_b") > c("y")).cast("bigint")).alias("disorders")), "SELECT CAST(0 AS BIGINT) AS disorders")
+_add("sort_check", lambda s, sf: regions.disorders(V.regions(s, sf).withColumn("ord", c("seq"))), f"WITH {V.V_REGIONS} SELECT CAST(coalesce(sum(CASE WHEN before > y THEN 1 ELSE 0 END), 0) AS BIGINT) AS disorders FROM (SELECT y, lag(y) OVER (PARTITION BY page ORDER BY seq) AS before FROM regions)")
 _add("upper_median_height", lambda s, sf: V.regions(s, sf).groupBy("page").agg(decode.upper_median(F.collect_list("h")).alias("mid")), f"WITH {V.V_REGIONS} SELECT page, list_sort(list(h))[CAST(count(*) // 2 + 1 AS INTEGER)] AS mid FROM regions GROUP BY page")
-_add("region_page_lookup", lambda s, sf: V.regions(s, sf).join(V.table(s, sf, "documents").select(c("doc_id").alias("page"), "lang"), "page").select("page", "seq", "lang"), f"WITH {V.V_REGIONS} SELECT page, seq, lang FROM regions JOIN documents ON doc_id = page")
+_add("region_page_lookup", lambda s, sf: evaluate.required(V.regions(s, sf), V.table(s, sf, "documents").select(c("doc_id").alias("page"), "lang"), "page").select("page", "seq", "lang"), f"WITH {V.V_REGIONS} SELECT page, seq, lang FROM regions JOIN documents ON doc_id = page")
 
 # ---- rasters ---------------------------------------------------------------------------------------------------------
 
@@ -289,18 +319,8 @@ _add("line_islands", _islands, f"{_PROFILE}, o AS (SELECT *, n < 22 AS onn, y -
 
 
 def _components(s: SparkSession, sf: str) -> DataFrame:
-    import numpy as np
-    import pandas as pd
-
-    def run(it):
-        for pdf in it:
-            rows = []
-            for r in pdf.itertuples():
-                g = np.frombuffer(r.data, np.uint8).reshape(r.height, r.width)
-                rows += [(r.page, k["x"], k["y"], k["w"], k["h"], k["n"], round(k["ang"], 4)) for k in raster.components(g)]
-            yield pd.DataFrame(rows, columns=["page", "x", "y", "w", "h", "n", "ang"])
-
-    return raster.on_pages(V.raster(s), _g(raster.adaptive_threshold)).mapInPandas(run, "page long, x long, y long, w long, h long, n long, ang double")
+    d = raster.component_table(raster.on_pages(V.raster(s), _g(raster.adaptive_threshold)))
+    return d.withColumn("ang", F.round("ang", 4)).drop("seq")
 
 
 _add(
@@ -394,9 +414,9 @@ _add("first_samples", _on(lambda p: p.filter("ref <> hyp").orderBy("page", "seq"
 _add("normalize_ws", _on(lambda p: p.select("page", "seq", T.normalize_ws(F.replace(c("ref"), F.lit("e"), F.lit("  "))).alias("text"))), rf"{_P} SELECT page, seq, trim(regexp_replace(replace(ref, 'e', '  '), '\s+', ' ', 'g')) AS text FROM pairs")
 _add("digit_spacing", _on(lambda p: p.select("page", "seq", T.digit_spacing(F.translate("ref", "aeiou", "1234 ")).alias("text"))), f"{_P} SELECT page, seq, {_SPACED.format(x='''translate(ref, 'aeiou', '1234 ')''')} AS text FROM pairs")
 _add("diacritic_fold", lambda s, sf: V.lines(s, sf).select("page", "seq", T.fold_diacritics(c("line")).alias("text")), f"WITH {V.V_LINES} SELECT page, seq, translate(line, '{T.FOLD_FROM}', '{T.FOLD_TO}') AS text FROM lines")
-_add("positional_zip", _on(lambda p: p.select("page", c("seq").alias("k"), "a").join(p.select("page", c("seq").alias("k"), "v"), ["page", "k"]).filter("a = v").groupBy("page").agg(F.count("*").alias("same")), V.triples), f"{_T3} SELECT page, count(*) AS same FROM triples WHERE a = v GROUP BY page")
+_add("positional_zip", _on(lambda p: evaluate.zipped(p.select("page", c("seq").alias("k"), "a"), p.select("page", c("seq").alias("k"), "v")).filter("a = v").groupBy("page").agg(F.count("*").alias("same")), V.triples), f"{_T3} SELECT page, count(*) AS same FROM triples WHERE a = v GROUP BY page")
 _add("running_best", lambda s, sf: V.table(s, sf, "events").select("user_id", "event_id", "value", F.coalesce(c("value") < F.min("value").over(W.partitionBy("user_id").orderBy("event_id").rowsBetween(W.unboundedPreceding, -1)), F.lit(True)).alias("best")), "SELECT user_id, event_id, value, coalesce(value < min(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS best FROM events")
-_add("timing_sum", lambda s, sf: V.table(s, sf, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total")), "SELECT event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1")
+_add("timing_sum", lambda s, sf: evaluate.throughput(V.table(s, sf, "events"), "event_type", "value").withColumns({k: F.round(k, 4) for k in ("mean", "a_second")}), "SELECT event_type, count(*) AS n, round(sum(value), 4) AS total, round(round(sum(value), 4) / count(*), 4) AS mean, round(1000 * count(*) / round(sum(value), 4), 4) AS a_second FROM events GROUP BY 1")
 _add("request_metrics", lambda s, sf: V.table(s, sf, "events").groupBy(F.floor(c("value") / 10).alias("bucket")).agg(F.count("*").alias("n")), "SELECT CAST(floor(value / 10) AS BIGINT) AS bucket, count(*) AS n FROM events GROUP BY 1")
 
 # ---- curation --------------------------------------------------------------------------------------------------------
@@ -409,13 +429,62 @@ _add("charset_subset", lambda s, sf: V.lines(s, sf).select("page", "seq", F.size
 _add("length_filter", lambda s, sf: V.lines(s, sf).filter(F.length("line").between(1, 100)).select("page", "seq"), f"WITH {V.V_LINES} SELECT page, seq FROM lines WHERE length(line) BETWEEN 1 AND 100")
 _add("ordered_split", lambda s, sf: curate.ordered_split(V.table(s, sf, "documents").select("doc_id"), "doc_id", "42"), "WITH n AS (SELECT doc_id, row_number() OVER (ORDER BY md5(doc_id || '42'), doc_id) AS k, count(*) OVER () AS t FROM documents) SELECT doc_id, CASE WHEN k <= t - t * 5 // 100 - t * 5 // 100 THEN 'train' WHEN k <= t - t * 5 // 100 THEN 'val' ELSE 'test' END AS split FROM n")
 _add("oversample_union", lambda s, sf: curate.oversample(V.table(s, sf, "documents").select("doc_id", F.lit("auto").alias("kind")), V.table(s, sf, "labels").select("doc_id", F.lit("verified").alias("kind"))), "SELECT doc_id, 'auto' AS kind FROM documents UNION ALL SELECT doc_id, 'verified' AS kind FROM labels, range(4)")
-_add("image_exists_semi", lambda s, sf: V.table(s, sf, "documents").select("doc_id", "lang").join(V.table(s, sf, "labels"), "doc_id", "left_semi"), "SELECT doc_id, lang FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")
+_add("image_exists_semi", lambda s, sf: curate.with_files(V.table(s, sf, "documents").select("doc_id", "lang"), V.table(s, sf, "labels"), "doc_id"), "SELECT doc_id, lang FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")
 _add("missing_page_error", lambda s, sf: V.table(s, sf, "documents").select("doc_id").join(V.table(s, sf, "labels").select("doc_id", "quality"), "doc_id", "left").select("doc_id", F.when(c("quality").isNull(), "page missing").alias("error")), "SELECT d.doc_id, CASE WHEN quality IS NULL THEN 'page missing' END AS error FROM documents d LEFT JOIN labels USING (doc_id)")
-_add("valid_rows", lambda s, sf: V.table(s, sf, "events").select("event_id", F.when(c("event_id") % 5 == 0, "timeout").alias("error")).filter("error is null").select("event_id"), "SELECT event_id FROM events WHERE event_id % 5 <> 0")
-_add("confidence_gate", lambda s, sf: V.table(s, sf, "documents").select("doc_id", F.forall(F.transform(F.split("text", " "), lambda w: F.length(w) % 100), lambda k: k < 12).alias("keep")).filter("keep").select("doc_id"), "SELECT doc_id FROM documents WHERE len(list_filter(string_split(text, ' '), lambda w: length(w) % 100 >= 12)) = 0")
-_add("review_routing", lambda s, sf: V.table(s, sf, "events").select("event_id", F.when(c("value") % 1 > 0.95, "accept").when(c("value") % 1 >= 0.7, "flag").otherwise("review").alias("route")), "SELECT event_id, CASE WHEN value % 1 > 0.95 THEN 'accept' WHEN value % 1 >= 0.7 THEN 'flag' ELSE 'review' END AS route FROM events")
+_add("valid_rows", lambda s, sf: curate.without_errors(V.table(s, sf, "events").select("event_id", F.when(c("event_id") % 5 == 0, "timeout").alias("error"))).select("event_id"), "SELECT event_id FROM events WHERE event_id % 5 <> 0")
+_add("confidence_gate", lambda s, sf: _lines(s, sf).filter(curate.all_confident(c("ps"), 0.27)).select("vec_id"), f"WITH {V.V_STEPS} SELECT vec_id FROM embeddings WHERE vec_id NOT IN (SELECT vec_id FROM emitted WHERE p < 0.27)")
+_add("review_routing", lambda s, sf: V.table(s, sf, "events").select("event_id", curate.review_route(c("value") % 1).alias("route")), "SELECT event_id, CASE WHEN value % 1 > 0.95 THEN 'accept' WHEN value % 1 >= 0.7 THEN 'flag' ELSE 'review' END AS route FROM events")
 _add("number_predicate", lambda s, sf: V.lines(s, sf).select("page", "seq", F.regexp_extract("line", r"^(\S+)", 1).rlike(r"^-?[\d\s]+$").alias("number"), c("line").rlike(r"^\d+\s*\(\d+\)$").alias("marker")), rf"WITH {V.V_LINES} SELECT page, seq, regexp_matches(regexp_extract(line, '^(\S+)', 1), '^-?[\d\s]+$') AS number, regexp_matches(line, '^\d+\s*\(\d+\)$') AS marker FROM lines")
-_add("seeded_sample", lambda s, sf: V.table(s, sf, "documents").select("doc_id", F.md5(F.concat(c("doc_id").cast("string"), F.lit("7")).cast("binary")).alias("h")).orderBy("h", "doc_id").limit(25).select("doc_id"), "SELECT doc_id FROM documents ORDER BY md5(doc_id || '7'), doc_id LIMIT 25")
+_add("seeded_sample", lambda s, sf: curate.seeded_order(V.table(s, sf, "documents").select("doc_id"), "doc_id", "7", 25), "SELECT doc_id FROM documents ORDER BY md5(doc_id || '7'), doc_id LIMIT 25")
 _add("target_mix", lambda s, sf: curate.sample_mix(V.table(s, sf, "documents").select("doc_id", "lang"), "doc_id", {"en": 0.5, "de": 0.4, "fr": 0.1}, "lang"))
 _add("gray16_to_8", lambda s, sf: V.table(s, sf, "events").select("event_id", F.shiftright((c("event_id") * 977 % 65536).cast("int"), 8).alias("v")), "SELECT event_id, CAST((event_id * 977 % 65536) >> 8 AS INTEGER) AS v FROM events")
 _add("ocr_confidence", lambda s, sf: V.table(s, sf, "events").select("event_id", (F.greatest(c("event_id") % 120 - 10, F.lit(0)) / 100.0).alias("p")), "SELECT event_id, greatest(event_id % 120 - 10, 0) / 100.0::DOUBLE AS p FROM events")
+
+
+# ---- comparison, errors and display --------------------------------------------------------------------------------------
+_add("agreement_by_page", _on(evaluate.agreement_by_page, V.triples), f"{_T3} SELECT page, count(*) AS n, {_n('a = b')} AS agree, round(100 * {_n('a = b')} / count(*)::DOUBLE, 6) AS percent FROM triples GROUP BY page")
+_MISREAD = lambda p: p.withColumns({"a": F.replace(F.replace("ref", F.lit("e"), F.lit("O84")), F.lit("Reserv"), F.lit("Reseryv")), "b": F.replace("ref", F.lit("e"), F.lit("084"))})
+_add(
+    "known_errors",
+    _on(lambda p: _MISREAD(p).select("page", "seq", curate.known_error(c("a"), c("b")).alias("reason"))),
+    f"""{_P}, m AS (SELECT page, seq, replace(replace(ref, 'e', 'O84'), 'Reserv', 'Reseryv') AS a, replace(ref, 'e', '084') AS b FROM pairs)
+SELECT page, seq, CASE WHEN a = b THEN NULL WHEN contains(a, 'O84') AND contains(b, '084') THEN 'O vs 0' WHEN contains(a, '5356300') AND contains(b, '556500') THEN 'wrong org.nr' WHEN contains(a, 'Reseryv') AND contains(b, 'Reserv') THEN 'typo'
+  WHEN contains(a, 'Icasing') AND contains(lower(b), 'leasing') THEN 'I vs l' WHEN contains(a, 'f2 14') OR contains(a, '12-75') OR contains(a, '12- /4') THEN 'wrong date' END AS reason FROM m""",
+)
+_PAIRS = ", ".join(f"('{x}', '{y}', '{x}{y}')" for x, y in evaluate.CONFUSION_PAIRS)
+_add(
+    "confusion_pairs",
+    lambda s, sf: evaluate.confusion_rates(V.pairs(s, sf).withColumn("hyp", F.translate("ref", "äöÄÖ", "aoAØ"))),
+    f"""{_P}, ch AS (SELECT substr(ref, i, 1) AS r, substr(translate(ref, 'äöÄÖ', 'aoAØ'), i, 1) AS h FROM (SELECT ref, unnest(range(1, length(ref) + 1)) AS i FROM pairs)),
+n AS (SELECT r, h, count(*) AS n FROM ch GROUP BY 1, 2), k(x, y, pair) AS (VALUES {_PAIRS}),
+s AS (SELECT pair, coalesce(sum(n), 0) AS total, coalesce(sum(CASE WHEN (r = x AND h = y) OR (r = y AND h = x) THEN n END), 0) AS confused FROM k LEFT JOIN n ON r = x OR r = y GROUP BY pair)
+SELECT pair, CAST(total AS BIGINT) AS total, CAST(confused AS BIGINT) AS confused, round(CASE WHEN total > 0 THEN confused / total::DOUBLE ELSE 0 END, 6) AS rate FROM s""",
+)
+_add("nordic_cer", _on(evaluate.nordic_cer))
+_add("display_text", lambda s, sf: V.lines(s, sf).select("page", "seq", evaluate.display(c("line"), 20).alias("text")), f"WITH {V.V_LINES} SELECT page, seq, left(trim(line), 20) AS text FROM lines")
+_add("page_union", lambda s, sf: V.lines(s, sf).select("page", "seq").unionAll(V.jitter(s, sf).select("page", "seq")), f"WITH {V.V_JITTER} SELECT page, seq FROM lines UNION ALL SELECT page, seq FROM jitter")
+_add("sibling_arrays", lambda s, sf: evaluate.siblings(V.table(s, sf, "documents").select("doc_id", F.split("text", "\n").alias("a"), F.split("lang", "").alias("b")), "a", "b").select("doc_id", "k", F.length("a").cast("bigint").alias("a"), "b"), "SELECT doc_id, CAST(k AS INTEGER) AS k, length(a[k + 1]) AS a, b[k + 1] AS b FROM (SELECT doc_id, a, b, unnest(range(0, greatest(len(a), len(b)))) AS k FROM (SELECT doc_id, string_split(text, chr(10)) AS a, string_split(lang, '') AS b FROM documents))")
+_add("gathered_results", lambda s, sf: evaluate.gathered(V.jitter(s, sf).select("page", "seq", c("w").alias("read")), V.regions(s, sf).select("page", "seq"), ["page", "seq"]), f"WITH {V.V_JITTER} SELECT r.page, r.seq, j.w AS read FROM regions r LEFT JOIN jitter j ON j.page = r.page AND j.seq = r.seq")
+_add("eta", lambda s, sf: V.table(s, sf, "events").select("event_id", evaluate.progress(c("event_id") % 50, F.lit(50), c("value")).alias("p")).select("event_id", F.round("p.rate", 6).alias("rate"), F.round("p.eta", 2).alias("eta")), "SELECT event_id, round(CASE WHEN value > 0 THEN event_id % 50 / value ELSE 0 END, 6) AS rate, round(CASE WHEN value > 0 AND event_id % 50 > 0 THEN (50 - event_id % 50) / (event_id % 50 / value) ELSE 0 END, 2) AS eta FROM events")
+_LETTERS = " ab"
+_text = lambda s, sf: _lines(s, sf).withColumn("text", decode.text_of(c("tokens"), _LETTERS))
+_add(
+    "trimmed_lines",
+    lambda s, sf: decode.strip_spaces(decode.trim_trailing(_text(s, sf))).select("vec_id", "text", F.size("ps").cast("bigint").alias("n"), F.round("confidence", 6).alias("confidence")),
+)
+_add("decoded_text", lambda s, sf: _text(s, sf).select("vec_id", "text"), f"WITH {V.V_STEPS} SELECT e.vec_id, coalesce(string_agg(substr('{_LETTERS}', CAST(token + 1 AS INTEGER), 1), '' ORDER BY pos), '') AS text FROM embeddings e LEFT JOIN emitted m USING (vec_id) GROUP BY e.vec_id")
+_add("near_width_batches", lambda s, sf: regions.near_width_batches(_plan(s, sf), 32).select("page", "seq", "line_w", "chunk"))
+
+
+# ---- cuts within a component, its profile given --------------------------------------------------------------------------
+
+
+def _profiles(s: SparkSession, sf: str) -> DataFrame:
+    """doc_id, profile: ink by row of a made-up component, from a document's first bytes on, all of them."""
+    h = F.transform(F.sequence(F.lit(0), F.lit(59)), lambda i: (i * (c("doc_id") % 7 + 3) + c("doc_id")) % 41)
+    return V.table(s, sf, "documents").select("doc_id", h.alias("profile"))
+
+
+_add("split_cuts", lambda s, sf: raster.cuts_of(_profiles(s, sf), "doc_id"), """WITH p AS (SELECT doc_id, i, (i * (doc_id % 7 + 3) + doc_id) % 41 AS n FROM documents, range(0, 60) r(i)),
+q AS (SELECT *, max(n) OVER (PARTITION BY doc_id) AS top FROM p), v AS (SELECT doc_id, i, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS g FROM q WHERE top > 0 AND n <= CAST(floor(0.3::DOUBLE * top) AS BIGINT) AND i >= 12 AND i < 48)
+SELECT doc_id, (min(i) + max(i) + 1) // 2 AS cut FROM v GROUP BY doc_id, g""")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -9,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 BOX = "struct<x:double,y:double,width:double,height:double>"
 LINE = f"struct<text:string,confidence:double,bbox:{BOX},words:array<struct<text:string,confidence:double,bbox:{BOX}>>,char_confidences:array<double>>"
@@ -27,7 +29,7 @@ def is_jpeg(content: Column) -> Column:
 
 
 def files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
-    """path, content, kind of a file or of a folder's own files; unreadable ones are skipped."""
+    """path, content, kind of a file or of a folder's own files; unreadable ones are skipped (Spark logs them)."""
     r = spark.read.format("binaryFile").option("recursiveFileLookup", "false").option("ignoreCorruptFiles", "true")
     if glob:
         r = r.option("pathGlobFilter", glob)
@@ -160,6 +162,62 @@ def request(rows: DataFrame) -> DataFrame:
     return d.withColumns({"content": content, "pages": F.from_json(F.col("_r.pages"), "array<int>")}).withColumn("status", F.when(F.col("content").isNull(), 400).otherwise(200)).drop("_r")
 
 
+def multipart(rows: DataFrame) -> DataFrame:
+    """``rows`` (content_type, body: bytes of multipart/form-data) with content, pages, status and error: the fields ``file`` and ``pages`` (a JSON list of numbers, or null), others ignored; 400 without a file or for bad pages."""
+
+    def fields(kind: str | None, body: bytes | None) -> tuple[bytes | None, str | None, str | None]:
+        mark = re.search(r'boundary="?([^";,]+)', kind or "")
+        if mark is None:
+            return None, None, "multipart error: no boundary"
+        found: dict[str, bytes] = {}
+        for part in (b"\r\n" + (body or b"")).split(b"\r\n--" + mark[1].encode())[1:]:
+            head, gap, data = part.partition(b"\r\n\r\n")
+            name = re.search(rb'(?i)content-disposition:[^\r\n]*[; ]name="?([^";\r\n]*)', head)
+            if gap and name:
+                found[name[1].decode("utf-8", "replace")] = data
+        if "file" not in found:
+            return None, None, "missing 'file' field"
+        return found["file"], found["pages"].decode("utf-8", "replace") if "pages" in found else None, None
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            got = [fields(k, v) for k, v in zip(b.column("content_type").to_pylist(), b.column("body").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array([g[0] for g in got], pa.binary()), pa.array([g[1] for g in got], pa.string()), pa.array([g[2] for g in got], pa.string())], ["row", "content", "text", "error"])
+
+    packed = rows.select(F.struct(*rows.columns).alias("row"), "content_type", F.col("body").cast("binary").alias("body"))
+    d = packed.mapInArrow(run, f"row {packed.schema['row'].dataType.simpleString()}, content binary, text string, error string")
+    pages = F.from_json("text", "array<int>")
+    bad = F.col("error").isNull() & (F.trim("text") != "null") & (pages.isNull() | F.exists(pages, lambda v: v.isNull() | (v < 0)))
+    error = F.when(F.coalesce(bad, F.lit(False)), "invalid pages").otherwise(F.col("error"))
+    d = d.select("row.*", "content", pages.alias("pages"), error.alias("error"))
+    return d.withColumn("content", F.when(F.col("error").isNull(), F.col("content"))).withColumn("status", F.when(F.col("error").isNull(), 200).otherwise(400))
+
+
+def legacy_lines(spark: SparkSession, path: str) -> DataFrame:
+    """page, seq, x, y, w, h, text, confidence of result files in the older form: one array of regions a file, numbered by page in their order."""
+    d = spark.read.schema(LEGACY).option("multiLine", "true").json(path)
+    d = d.withColumn("_i", F.monotonically_increasing_id())
+    seq = F.row_number().over(W.partitionBy("page").orderBy("_i")) - 1
+    d = d.select(F.col("pageNumber").alias("page"), "x", "y", F.col("width").alias("w"), F.col("height").alias("h"), "text", F.col("textConfidence").alias("confidence"), "_i")
+    return d.withColumn("seq", seq).drop("_i")
+
+
+def page_files(spark: SparkSession, path: str, glob: str = "*.png") -> DataFrame:
+    """path, page, content of a folder's page images; the page is the last number in the file's name, null without one.  Order by path for the reference's order."""
+    d = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
+    stem = F.regexp_extract(F.col("path"), r"([^/]*)\.[^./]*$", 1)
+    number = F.regexp_extract(stem, r"(\d+)\D*$", 1)
+    return d.select("path", F.when(number != "", number.cast("int")).alias("page"), "content").orderBy("path")
+
+
+def first_there(paths: list[str], there: Column, path: Column) -> Column:
+    """For ``min_by``: the place of a file among the preferred ones, after all of them for any other, null if it isn't there."""
+    rank = F.lit(len(paths))
+    for i, p in reversed(list(enumerate(paths))):
+        rank = F.when(path == p, F.lit(i)).otherwise(rank)
+    return F.when(there, rank)
+
+
 def result_lines(results: DataFrame) -> DataFrame:
     """page, seq, text, confidence and box of every line of result JSON."""
     p = results.select(F.explode("pages").alias("p")).select(F.col("p.page_index").alias("page"), F.posexplode("p.lines").alias("seq", "l"))
