@@ -9,6 +9,14 @@ array; words without a pair left drop out.  A merged piece that some
 better-ranked pair could swallow at once is merged at its leftmost occurrence
 only, which keeps the order of the one-by-one algorithm.
 
+In words that are long, pairs far apart don't wait for each other: no piece is
+longer than L characters, so that what happens more than 2 L symbols away can't
+reach a pair, nor the pieces that may swallow it, before its turn.  There a
+pair is merged as soon as it ranks least within 2 L symbols, and so do the
+better-ranked pairs that its piece makes possible (they follow at once in the
+one-by-one algorithm, too).  A long word so takes about as many rounds as its
+stretches do, not as it has merges.
+
 Defined results: a null text is an empty text and has the end id alone;
 repeated rows are encoded one by one; null ids pass through; characters
 outside the vocabulary become their UTF-8 bytes' pieces; an empty table gives
@@ -18,7 +26,6 @@ an empty table; further columns are left out.
 from __future__ import annotations
 
 import hashlib
-import heapq
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -27,14 +34,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .hashing import chunks, hashes
 from .shared import batches
 
 MARK = "▁"
 NONE = np.int64(1) << 40
-#: Words longer than this are merged with a heap: as many rounds as they have merges would be quadratic.
-LONG = 4096
 #: Bound of the per-process word table.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 1 << 18
 PIECE_BYTES = 1 << 20
 
 
@@ -152,45 +158,75 @@ class Pieces:
         inside = {c for p in merged for c in p}
         self.reach = any(a != MARK and b == MARK for p in merged for a, b in zip(p, p[1:]))
         self.line_ends = "\n" not in inside
-        # Word hashes: sums of byte values times powers of an odd number, modulo 2 ** 64.
-        self.values = np.random.default_rng(11).integers(1, 1 << 63, 256, np.int64).view(np.uint64) | np.uint64(1)
-        self.power, self.inverse = np.ones(1, np.uint64), np.ones(1, np.uint64)
+        self.radius = 2 * max(map(len, merged))
         plain = [b"" if special[i] else bytes([int(text[i][3:-1], 16)]) if byte[i] else text[i].replace(MARK, " ").encode() for i in range(n)]
         self.plain = _strings(plain)
         self.digits = _strings([b"%d " % i for i in range(n)])
         self.starts_blank = np.array([p.startswith(b" ") for p in plain])
         self.clear()
+        # Runs of marks: where they merge last of all, and into the longest piece of marks again and again, that piece is a word of its own.
+        marks = {len(p): order[score[p]] for p in merged if set(p) == {MARK} and len(p) > 1}
+        self.tile, last, most = 0, max(order.values(), default=0), max(marks, default=0)
+        alone = all(MARK * 2 not in p or set(p) == {MARK} for p in merged)
+        if marks and alone and set(marks.values()) == {last} and all(set(p) == {MARK} for p in merged if order[score[p]] == last):
+            ids, n = self.merge([MARK * k for k in range(1, 3 * most + 1)])
+            runs = [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])]
+            whole = runs[most - 1]
+            if len(whole) == 1 and all(runs[k] == whole + runs[k - most] for k in range(most, 3 * most)):
+                self.tile = most
 
     def clear(self) -> None:
         self.cache = Table(CACHE_WORDS)
         self.flat = np.zeros(0, np.int32)
         self.at, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        # The words themselves, as 8-byte chunks: equal hashes are no proof.
+        self.chunk = np.zeros(0, np.uint64)
+        self.chunk_at, self.chunk_n, self.bytes = (np.zeros(0, np.int64) for _ in range(3))
 
-    def _powers(self, n: int) -> None:
-        if len(self.power) <= n:
-            step = np.uint64(0x9E3779B97F4A7C15)
-            self.power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(2 * n, step)]))
-            self.inverse = np.cumprod(np.concatenate([[np.uint64(1)], np.full(2 * n, np.uint64(pow(int(step), -1, 1 << 64)))]))
-
-    def _words(self, data: bytes, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Where words start and end in the joined texts, and their hashes."""
-        b = np.frombuffer(data, np.uint8)
+    def _words(self, b: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where words start and end in the joined texts."""
         mark = np.zeros(len(b) + 1, bool)
         mark[0], mark[stops] = True, True
         if not self.reach:
             blank = b == 32
             mark[1:-1] |= blank[1:] & ~blank[:-1]
+            if self.tile and (at := np.flatnonzero(blank)).size:
+                text = np.searchsorted(stops, at, "right")
+                new = np.concatenate([[True], (np.diff(at) > 1) | (np.diff(text) > 0)])
+                begin = np.flatnonzero(new)
+                n = np.diff(np.append(begin, len(at)))
+                if n.max() > self.tile:
+                    nth = np.arange(len(at)) - np.repeat(begin, n)
+                    mark[at[(nth % self.tile == 0) & (np.repeat(n, n) - nth > self.tile)]] = True
             if self.line_ends:
                 line = b == 10
                 mark[:-1] |= line
                 mark[1:] |= line
         cut = np.flatnonzero(mark)
-        self._powers(len(b))
-        total = np.concatenate([[np.uint64(0)], np.cumsum(self.values[b] * self.power[: len(b)])])
-        start, end = cut[:-1], cut[1:]
-        h = (total[end] - total[start]) * self.inverse[start]
-        h ^= h >> np.uint64(29)
-        return start, end, (h & np.uint64((1 << 63) - 1)).view(np.int64)
+        return cut[:-1], cut[1:]
+
+    def _known(self, h: np.ndarray, chunk: np.ndarray, n: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Cache rows of the words, -1 where the word isn't there: hashes find, bytes decide."""
+        which = self.cache.find(h)
+        at = np.flatnonzero(which >= 0)
+        at = at[self.bytes[which[at]] == size[at]]
+        same = np.full(len(which), -1, np.int32)
+        if len(at):
+            cached, ends = _gather(self.chunk, self.chunk_at, self.chunk_n, which[at])
+            own = chunk if len(at) == len(h) else _gather(chunk, np.cumsum(n) - n, n, at)[0]
+            good = np.logical_and.reduceat(cached == own, ends - n[at])
+            same[at[good]] = which[at[good]]
+        return same
+
+    def _learn(self, words: list[str], chunk: np.ndarray, n: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Merge the words and store them; their cache rows."""
+        ids, count = self.merge(words)
+        rows = np.arange(len(self.size), len(self.size) + len(words), dtype=np.int32)
+        self.at = np.concatenate([self.at, len(self.flat) + np.cumsum(count) - count])
+        self.flat, self.size = np.concatenate([self.flat, ids]), np.concatenate([self.size, count])
+        self.chunk_at = np.concatenate([self.chunk_at, len(self.chunk) + np.cumsum(n) - n])
+        self.chunk, self.chunk_n, self.bytes = np.concatenate([self.chunk, chunk]), np.concatenate([self.chunk_n, n]), np.concatenate([self.bytes, size])
+        return rows
 
     def _symbols(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         code = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).astype(np.int32)
@@ -201,14 +237,6 @@ class Pieces:
         code, sym, wid = self._symbols(words)
         sym = np.where(sym < 0, -2 - code, sym)  # out of the vocabulary: never merges
         done_sym, done_wid = [], []
-        lengths = np.bincount(wid, minlength=len(words))
-        if (lengths > LONG).any():
-            for w in np.flatnonzero(lengths > LONG):
-                part = self._by_heap(sym[wid == w].tolist())
-                done_sym.append(np.array(part, np.int32))
-                done_wid.append(np.full(len(part), w, np.int32))
-            keep = lengths[wid] <= LONG
-            sym, wid = sym[keep], wid[keep]
         while len(sym):
             same = wid[1:] == wid[:-1]
             good = same & (sym[1:] >= 0) & (sym[:-1] >= 0)
@@ -235,14 +263,72 @@ class Pieces:
             joined = np.concatenate([[False], np.diff(hit) == 1])
             run = np.arange(len(hit)) - np.maximum.accumulate(np.where(joined, 0, np.arange(len(hit))))
             hit = hit[run % 2 == 0]
-            sym[hit] = self.made[row[hit]]
-            keep = np.ones(len(sym), bool)
-            keep[hit + 1] = False
-            sym, wid = sym[keep], wid[keep]
+            alone = np.zeros(0, np.int64)
+            if (sizes > self.radius).any():
+                far = np.repeat(sizes > self.radius, sizes)
+                at = np.flatnonzero(far)
+                many, alone = self._near_minima(rank[at], wid[at], self.careful[self.made[row[at]]])
+                hit, alone = np.concatenate([hit[~far[hit]], at[many], at[alone]]), at[alone]
+            limit = rank[alone]
+            sym, wid, place = self._joined(sym, wid, hit, self.made[row[hit]])
+            if len(alone):
+                sym, wid = self._swallowed(sym, wid, place[alone], limit)
         sym, wid = np.concatenate([np.zeros(0, np.int32), *done_sym]), np.concatenate([np.zeros(0, np.int32), *done_wid])
         order = np.argsort(wid, kind="stable")
         return self._to_ids(sym[order], wid[order], len(words))
 
+    @staticmethod
+    def _joined(sym: np.ndarray, wid: np.ndarray, hit: np.ndarray, made: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The arrays once the pairs that begin at ``hit`` are merged, and each old place's new one."""
+        sym[hit] = made
+        keep = np.ones(len(sym), bool)
+        keep[hit + 1] = False
+        return sym[keep], wid[keep], np.cumsum(keep) - 1
+
+    def _near_minima(self, rank: np.ndarray, wid: np.ndarray, careful: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs that rank least within the radius in their words: those to be merged as they are, and those that need care and come first."""
+        n = len(rank)
+        key = (np.minimum(rank, 1 << 30) << 32) | np.arange(n)
+        least = key.copy()
+        for way in (1, -1):
+            side, width = key.copy(), 1
+            while width <= self.radius:  # doubled spans: at least the radius, at most twice that
+                a, b = (slice(0, n - width), slice(width, n)) if way == 1 else (slice(width, n), slice(0, n - width))
+                if n > width:
+                    side[a] = np.where(wid[a] == wid[b], np.minimum(side[a], side[b]), side[a])
+                width *= 2
+            least = np.minimum(least, side)
+        hit = (least >> 32 == np.minimum(rank, 1 << 30)) & (rank < NONE)
+        alone = np.flatnonzero(hit & careful & (least == key))
+        # A run of overlapping pairs is merged every second from its start, if the start and all up to there are hits.
+        where = np.arange(n)
+        start = np.ones(n, bool)
+        start[1:] = (rank[1:] != rank[:-1]) | (wid[1:] != wid[:-1])
+        start |= rank >= NONE
+        begin = np.maximum.accumulate(np.where(start, where, 0))
+        missed = np.cumsum(~hit)
+        plain = hit & ~careful & ((where - begin) % 2 == 0) & (missed == missed[begin] - ~hit[begin])
+        return np.flatnonzero(plain), alone
+
+    def _swallowed(self, sym: np.ndarray, wid: np.ndarray, grown: np.ndarray, limit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Merge the pieces at ``grown`` on while they have a pair that ranks at least as well as the merge that made them."""
+        while len(grown):
+            pairs = []
+            for a in (grown - 1, grown):
+                ok = (a >= 0) & (a + 1 < len(sym))
+                x, y = np.where(ok, a, 0), np.where(ok, a + 1, 0)
+                ok &= (wid[x] == wid[y]) & (sym[x] >= 0) & (sym[y] >= 0)
+                row = np.full(len(a), -1, np.int32)
+                row[ok] = self.pairs.find(sym[x[ok]].astype(np.int64) * self.base + sym[y[ok]])
+                pairs.append((a, row, self.rank[row]))
+            left = pairs[0][2] <= pairs[1][2]
+            at, row, rank = (np.where(left, p, q) for p, q in zip(*pairs, strict=True))
+            go = rank <= limit
+            at, row, limit = at[go], row[go], limit[go]
+            sym, wid, place = self._joined(sym, wid, at, self.made[row])
+            grown = place[at]
+        return sym, wid
+
     @staticmethod
     def _in_careful(careful: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Whether any occurrence in the same word needs care."""
@@ -264,35 +350,6 @@ class Pieces:
         del size
         return ids, np.bincount(np.repeat(wid, n), minlength=n_words)
 
-    def _by_heap(self, sym: list[int]) -> list[int]:
-        """The one-by-one algorithm, for a single long word."""
-        n = len(sym)
-        after, before, live = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
-        arr = np.array(sym, np.int64)
-        row = np.full(n, -1, np.int64)
-        ok = np.flatnonzero((arr[1:] >= 0) & (arr[:-1] >= 0))
-        row[ok] = self.pairs.find(arr[ok] * self.base + arr[ok + 1])
-        heap = [(int(self.rank[r]), i, sym[i], sym[i + 1], int(self.made[r])) for i, r in enumerate(row.tolist()) if r >= 0]
-        heapq.heapify(heap)
-
-        def push(i: int) -> None:
-            j = after[i]
-            if j < n and sym[i] >= 0 and sym[j] >= 0 and (r := int(self.pairs.find(np.array([sym[i] * int(self.base) + sym[j]], np.int64))[0])) >= 0:
-                heapq.heappush(heap, (int(self.rank[r]), i, sym[i], sym[j], int(self.made[r])))
-
-        while heap:
-            _, i, a, b, made = heapq.heappop(heap)
-            j = after[i]
-            if not live[i] or j >= n or sym[i] != a or sym[j] != b:
-                continue
-            sym[i], live[j], after[i] = made, False, after[j]
-            if after[i] < n:
-                before[after[i]] = i
-            push(i)
-            if before[i] >= 0:
-                push(before[i])
-        return [s for s, keep in zip(sym, live, strict=True) if keep]
-
     def encode(self, texts: list[str], end: bool = True) -> tuple[np.ndarray, np.ndarray]:
         """All texts' ids in one array, and each text's number of ids."""
         if len(self.size) > CACHE_WORDS:
@@ -302,17 +359,26 @@ class Pieces:
         if not data:
             ids, total = np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
         else:
-            first, last, h = self._words(data, stops)
-            which = self.cache.find(h)
+            raw = np.frombuffer(data, np.uint8)
+            first, last = self._words(raw, stops)
+            size = last - first
+            chunk, n = chunks(raw, first, size)
+            h = (hashes(chunk, n, size) & np.uint64((1 << 63) - 1)).view(np.int64)
+            which = self._known(h, chunk, n, size)
             miss = np.flatnonzero(which < 0)
             if len(miss):
+                begin = np.cumsum(n) - n
+
+                def learn(at: np.ndarray) -> np.ndarray:
+                    return self._learn([data[a:b].decode().replace(" ", MARK) for a, b in zip(first[at].tolist(), last[at].tolist(), strict=True)], _gather(chunk, begin, n, at)[0], n[at], size[at])
+
                 new, one = np.unique(h[miss], return_index=True)
-                one = miss[one]
-                got, n = self.merge([data[a:b].decode().replace(" ", MARK) for a, b in zip(first[one].tolist(), last[one].tolist(), strict=True)])
-                self.cache.insert(new, np.arange(len(self.size), len(self.size) + len(new), dtype=np.int32))
-                self.at = np.concatenate([self.at, len(self.flat) + np.cumsum(n) - n])
-                self.flat, self.size = np.concatenate([self.flat, got]), np.concatenate([self.size, n])
-                which[miss] = self.cache.find(h[miss])
+                free = self.cache.find(new) < 0
+                self.cache.insert(new[free], learn(miss[one[free]]))
+                which[miss] = self._known(h[miss], _gather(chunk, begin, n, miss)[0], n[miss], size[miss])
+                other = np.flatnonzero(which < 0)  # another word has their hash
+                if len(other):
+                    which[other] = learn(other)
             ids, ends = _gather(self.flat, self.at, self.size, which)
             upto = np.concatenate([[0], ends])[np.searchsorted(last, stops, "right")]
             total = np.diff(np.concatenate([[0], upto]))
