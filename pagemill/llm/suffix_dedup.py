@@ -11,9 +11,13 @@ windows have equal anchors at the same distance.
    windows share an anchor) to their anchor's hash and are suffix-sorted there,
    windows of equal distance from the anchor together; of equal windows all but
    the first are covered.  Contexts that are equal within a batch of documents
-   are settled in place.
-4. Anchors with over HOT occurrences would make large groups: their windows
-   travel one by one under a 128-bit hash of their own content instead.
+   are settled in place, their bytes compared.
+4. An anchor with more than RUN contexts is dealt into runs, each sorted by a
+   task of its own.  What is the first of its kind in its run goes on to the
+   next level under a longer anchor: windows that reach ``step`` bytes further
+   to the right, and the others, which reach as much further to the left.
+   Copies of one passage so meet once a run, and different passages around a
+   common anchor part; no task holds more than about a run.
 5. Covered stretches are merged by document and cut out.
 
 Defined results: null texts are empty; a null id orders after all others; rows
@@ -26,6 +30,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,14 +39,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .hashing import chunks, mix
 from .near_dedup import _groups
-from .shared import batches, saved
+from .shared import batches, freed, saved
 from .suffixes import Text, minimizers, sort_segments
 
 LENGTH, K = 100, 24
-HOT = 1000
-#: So many ids (8 bytes each) may be broadcast.
-BROADCAST_IDS = 500_000
+#: Contexts of one anchor that are sorted together; each is under twice LENGTH bytes.
+RUN = 4096
 PIECE_BYTES = 1 << 20
 
 
@@ -82,66 +87,67 @@ def _anchors(length: int, k: int):
     return run
 
 
-_ROW = "kind int, h long, h2 long, doc long, start long, n int, back int, bytes binary"
+_TYPES = {"kind": pa.int32(), "h": pa.int64(), "run": pa.int32(), "runs": pa.int32(), "lo": pa.int32(), "hi": pa.int32(), "doc": pa.int64(), "start": pa.int64(), "n": pa.int32(), "back": pa.int32(), "bytes": pa.binary()}
+#: Kind 0 is a context of n windows whose anchor lies ``back`` bytes from its start; around the anchor's first byte ``lo`` bytes before and ``hi`` from there on are its own.  Kind 2 is a covered stretch of n bytes.
+_ROW = "kind int, h long, run int, runs int, lo int, hi int, doc long, start long, n int, back int, bytes binary"
 
 
 def _row_batch(**c) -> pa.RecordBatch:
     size = len(c["doc"])
-    types = {"kind": pa.int32(), "h": pa.int64(), "h2": pa.int64(), "doc": pa.int64(), "start": pa.int64(), "n": pa.int32(), "back": pa.int32(), "bytes": pa.binary()}
-    return pa.RecordBatch.from_arrays([pa.array(c[x], t) if x in c else pa.nulls(size, t) for x, t in types.items()], list(types))
+    return pa.RecordBatch.from_arrays([pa.array(c[x], t) if x in c else pa.nulls(size, t) for x, t in _TYPES.items()], list(_TYPES))
 
 
-def _contexts(length: int, k: int):
-    """Kinds of rows: 0 a context, 1 a window of a hot anchor, 2 a covered stretch of n bytes."""
+def _alike(data: np.ndarray, at: np.ndarray, size: np.ndarray, pairs: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Whether the bytes of order[k] and order[k - 1], of one size, are equal for each k of ``pairs``."""
+    if not len(pairs):
+        return np.zeros(0, bool)
+    x, y = order[pairs], order[pairs - 1]
+    one, n = chunks(data, at[x], size[x])
+    return np.logical_and.reduceat(one == chunks(data, at[y], size[y])[0], np.cumsum(n) - n)
+
 
+def _contexts(length: int, k: int):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(it, "text", PIECE_BYTES):
             texts = batch.column("text").to_pylist()
             text, first, h, start, doc, anchor = _windows(texts, length, k)
             ids = batch.column("key").to_numpy()
-            mark = np.zeros(len(text.bytes) + 1, np.uint8)
-            sizes = pa.compute.list_value_length(batch.column("pos")).to_numpy()
-            spots = batch.column("pos").flatten().to_numpy() + np.repeat(first, sizes)
-            mark[spots] = 1 + batch.column("hot").flatten().to_numpy(zero_copy_only=False)
-            state = mark[anchor]
+            runs = np.zeros(len(text.bytes) + 1, np.int32)
+            sizes = pa.compute.list_value_length(batch.column("spots")).to_numpy()
+            spots = batch.column("spots").flatten()
+            runs[spots.field("pos").to_numpy() + np.repeat(first, sizes)] = spots.field("runs").to_numpy()
             new = np.ones(len(start), bool)
             new[1:] = (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])
             begin = np.flatnonzero(new)
             n = np.diff(np.append(begin, len(start)))
-            use = state[begin] > 0
+            use = runs[anchor[begin]] > 0
             begin, n = begin[use], n[use]
             if not len(begin):
                 continue
-            s, d, a, hot = start[begin], doc[begin], anchor[begin], state[begin] == 2
+            s, d, a = start[begin], doc[begin], anchor[begin]
             name = text.names(s, n + length - 1)
             order = np.lexsort((s, ids[d], a - s, n, name))
             same = np.zeros(len(order), bool)
             p, o = order[:-1], order[1:]
             same[1:] = (name[o] == name[p]) & (n[o] == n[p]) & ((a - s)[o] == (a - s)[p])
+            twin = np.flatnonzero(same)
+            same[twin] = _alike(text.bytes, s, n + length - 1, twin, order)
             gone, kept = order[same], order[~same]
-            yield _row_batch(kind=np.full(len(gone), 2), h=name[gone] ^ ids[d[gone]], doc=ids[d[gone]], start=(s - first[d])[gone], n=n[gone] + length - 1)
-            cold = kept[~hot[kept]]
-            raw = text.bytes.tobytes()
+            yield _row_batch(kind=np.full(len(gone), 2), h=name[gone] ^ ids[d[gone]], run=np.zeros(len(gone)), doc=ids[d[gone]], start=(s - first[d])[gone], n=n[gone] + length - 1)
+            raw, r = text.bytes.tobytes(), runs[a[kept]]
             yield _row_batch(
-                kind=np.zeros(len(cold)), h=h[a[cold]], doc=ids[d[cold]], start=(s - first[d])[cold], n=n[cold], back=(a - s)[cold],
-                bytes=[raw[x : x + y] for x, y in zip(s[cold].tolist(), (n[cold] + length - 1).tolist(), strict=True)],
+                kind=np.zeros(len(kept)), h=h[a[kept]], run=_dealt(ids[d[kept]], (s - first[d])[kept], r), runs=r, lo=np.zeros(len(kept)), hi=np.full(len(kept), k), doc=ids[d[kept]], start=(s - first[d])[kept], n=n[kept], back=(a - s)[kept],
+                bytes=[raw[x : x + y] for x, y in zip(s[kept].tolist(), (n[kept] + length - 1).tolist(), strict=True)],
             )
-            warm = kept[hot[kept]]
-            if len(warm):
-                at = np.repeat(s[warm] - (np.cumsum(n[warm]) - n[warm]), n[warm]) + np.arange(int(n[warm].sum()))
-                of = np.repeat(d[warm], n[warm])
-                one = text.names(at, length)
-                two = np.array([int.from_bytes(hashlib.blake2b(raw[x : x + length], digest_size=8).digest(), "little", signed=True) for x in at.tolist()], np.int64)
-                order = np.lexsort((at, ids[of], two, one))
-                same = np.zeros(len(order), bool)
-                same[1:] = (one[order[1:]] == one[order[:-1]]) & (two[order[1:]] == two[order[:-1]])
-                gone, kept = order[same], order[~same]
-                yield from _stretches(ids[of[gone]], (at - first[of])[gone], length)
-                yield _row_batch(kind=np.ones(len(kept)), h=one[kept], h2=two[kept], doc=ids[of[kept]], start=(at - first[of])[kept])
 
     return run
 
 
+def _dealt(doc: np.ndarray, start: np.ndarray, runs: np.ndarray) -> np.ndarray:
+    """Each context's run."""
+    return (mix(doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + start.astype(np.uint64)) % np.maximum(runs, 1).astype(np.uint64)).astype(np.int32)
+
+
 def _stretches(doc: np.ndarray, start: np.ndarray, length: int) -> Iterator[pa.RecordBatch]:
     """Kind 2 rows for covered windows; overlapping ones joined."""
     order = np.lexsort((start, doc))
@@ -151,44 +157,32 @@ def _stretches(doc: np.ndarray, start: np.ndarray, length: int) -> Iterator[pa.R
         new[1:] = (doc[1:] != doc[:-1]) | (start[1:] > start[:-1] + length)
         b = np.flatnonzero(new)
         last = np.append(b[1:], len(doc)) - 1
-        yield _row_batch(kind=np.full(len(b), 2), h=doc[b] * 31 + start[b], doc=doc[b], start=start[b], n=start[last] - start[b] + length)
+        yield _row_batch(kind=np.full(len(b), 2), doc=doc[b], start=start[b], n=start[last] - start[b] + length)
 
 
 def _settled(length: int):
+    """From contexts, run by run: covered stretches, and the contexts for the next level."""
+
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _groups(it, ["kind", "h"]):
+        for t in _groups(it, ["h", "run", "kind"]):
             kind = t.column("kind").to_numpy()
-            for piece in (t.filter(pa.array(kind == x)) for x in (0, 1, 2)):
-                if not piece.num_rows:
-                    continue
-                x = int(piece.column("kind")[0].as_py())
-                doc, start = piece.column("doc").to_numpy(), piece.column("start").to_numpy()
-                if x == 0:
-                    doc, start = _by_suffix(piece, doc, start, length)
-                    out = list(_stretches(doc, start, length))
-                elif x == 1:
-                    one, two = piece.column("h").to_numpy(), piece.column("h2").to_numpy()
-                    order = np.lexsort((start, doc, two, one))
-                    same = np.zeros(len(order), bool)
-                    same[1:] = (one[order[1:]] == one[order[:-1]]) & (two[order[1:]] == two[order[:-1]])
-                    out = list(_stretches(doc[order[same]], start[order[same]], length))
-                else:
-                    out = [_row_batch(kind=kind[kind == 2], doc=doc, start=start, n=piece.column("n").to_numpy())]
-                for b in out:
-                    yield pa.RecordBatch.from_arrays([b.column("doc"), b.column("start"), b.column("n").cast(pa.int64())], ["doc", "start", "n"])
+            if (kind == 2).any():
+                yield from t.filter(pa.array(kind == 2)).combine_chunks().to_batches()
+            if (kind == 0).any():
+                yield from _by_suffix(t.filter(pa.array(kind == 0)), length)
 
     return run
 
 
-def _by_suffix(t: pa.Table, doc: np.ndarray, start: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Windows of the contexts that equal an earlier one: their documents and starts."""
-    h, n, back = t.column("h").to_numpy(), t.column("n").to_numpy().astype(np.int64), t.column("back").to_numpy().astype(np.int64)
+def _by_suffix(t: pa.Table, length: int) -> Iterator[pa.RecordBatch]:
+    col = lambda x: t.column(x).to_numpy().astype(np.int64)
+    h, run, n, back, doc, start = (col(x) for x in ("h", "run", "n", "back", "doc", "start"))
     raw = t.column("bytes").to_pylist()
     text = Text(b"".join(raw))
     off = np.concatenate([[0], np.cumsum([len(x) for x in raw])[:-1]]).astype(np.int64)
     c = np.repeat(np.arange(len(n)), n)
     j = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-    group = np.cumsum(np.concatenate([[0], h[1:] != h[:-1]]))
+    group = np.cumsum(np.concatenate([[0], (h[1:] != h[:-1]) | (run[1:] != run[:-1])]))
     key = group[c] * (length + 1) + back[c] - j
     order = np.lexsort((start[c] + j, doc[c], key))
     key_o = key[order]
@@ -200,7 +194,28 @@ def _by_suffix(t: pa.Table, doc: np.ndarray, start: np.ndarray, length: int) ->
     order = order[twin]
     place, same = sort_segments(text, (off[c] + j)[order], length, key[order])
     hit = order[place[same]]
-    return doc[c[hit]], (start[c] + j)[hit]
+    yield from _stretches(doc[c[hit]], (start[c] + j)[hit], length)
+    # First in a run of several: on to the next level.
+    alive = (col("runs") > 1)[c]
+    alive[hit] = False
+    lo, hi = col("lo"), col("hi")
+    step = np.maximum((length - lo - hi) // 2, 0)
+    step = np.minimum(step, (length - 24) // 4)
+    right = (j - back[c] + length >= (hi + step)[c]) | (step == 0)[c]
+    live = np.flatnonzero(alive)
+    if not len(live):
+        return
+    new = np.ones(len(live), bool)
+    new[1:] = (np.diff(live) > 1) | (c[live[1:]] != c[live[:-1]]) | (right[live[1:]] != right[live[:-1]])
+    begin = np.flatnonzero(new)
+    size = np.diff(np.append(begin, len(live)))
+    x, at, r = c[live[begin]], j[live[begin]], right[live[begin]]
+    lo, hi = np.where(r, lo[x], lo[x] + step[x]), np.where(r, hi[x] + step[x], hi[x])
+    name = text.names(off[x] + back[x] - lo, lo + hi) ^ r
+    yield _row_batch(
+        kind=np.zeros(len(x)), h=name, lo=lo, hi=hi, doc=doc[x], start=start[x] + at, n=size, back=back[x] - at,
+        bytes=[raw[p][q : q + m] for p, q, m in zip(x.tolist(), at.tolist(), (size + length - 1).tolist(), strict=True)],
+    )
 
 
 def _bytes(docs: DataFrame) -> DataFrame:
@@ -218,41 +233,56 @@ class Corpus:
         # Rows of one id with different texts: numbered, so that every text has a key of its own.
         spread = F.coalesce(F.col("doc_id"), F.xxhash64("sha"))
         nth = F.row_number().over(W.partitionBy("doc_id", spread).orderBy("sha")) - 1
-        classes = saved(classes.withColumn("_nth", nth), "suffix-classes")
+        self.known = classes = saved(classes.withColumn("_nth", nth), "suffix-classes")
         n, ids, most = classes.agg(F.count("*"), F.countDistinct("doc_id"), F.coalesce(F.max("_nth"), F.lit(0))).first()
         total = self.rows.count()
         self.plain = n == ids and total == self.rows.agg(F.countDistinct("doc_id")).first()[0]
         null_key = F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64("sha"), 2)
         key = F.col("doc_id") if most == 0 else F.col("doc_id") * (most + 1) + F.col("_nth")
         self.classes = classes.select("sha", "doc_id", F.coalesce(key, null_key).alias("key"))
-        self.n_copies = total - n
 
-    def texts(self, keys: DataFrame | None = None) -> DataFrame:
-        """key, text of the distinct texts, of those in ``keys`` if given."""
-        source = _bytes(self.docs)
+    def keyed(self, columns: DataFrame) -> DataFrame:
+        """The first row of each text, of ``columns`` (with text, sha and doc_id), with its key."""
         if self.plain:
-            copies = self.rows.join(self.classes, ["sha", "doc_id"], "left_anti").select("doc_id")
-            few = self.n_copies <= BROADCAST_IDS
-            out = source.join(F.broadcast(copies) if few else copies, "doc_id", "left_anti").select(F.col("doc_id").alias("key"), "text")
-        else:
-            c = self.classes.select(F.col("sha").alias("_sha"), F.col("doc_id").alias("_id"), "key")
-            out = source.join(c, (F.col("sha") == F.col("_sha")) & F.col("doc_id").eqNullSafe(F.col("_id"))).select("key", "text").dropDuplicates(["key"])
-        if keys is not None:
-            few = keys.count() <= BROADCAST_IDS
-            out = out.join(F.broadcast(keys) if few else keys, "key", "left_semi")
-        return out
+            copies = self.rows.join(self.classes, ["sha", "doc_id"], "left_anti").select(F.col("doc_id").alias("key"))
+            return columns.withColumn("key", F.col("doc_id")).join(copies, "key", "left_anti")
+        c = self.classes.select(F.col("sha").alias("_sha"), F.col("doc_id").alias("_id"), "key")
+        return columns.join(c, (F.col("sha") == F.col("_sha")) & F.col("doc_id").eqNullSafe(F.col("_id"))).drop("_sha", "_id").dropDuplicates(["key"])
+
+    def texts(self) -> DataFrame:
+        """key, text of the distinct texts."""
+        return self.keyed(_bytes(self.docs)).select("key", "text")
 
+    def free(self) -> None:
+        freed(self.rows, self.known)
 
-def covered(corpus: Corpus, length: int = LENGTH, k: int = K, hot: int = HOT) -> DataFrame:
+
+def covered(corpus: Corpus, length: int = LENGTH, k: int = K, run: int = RUN) -> DataFrame:
     """key, spans (array of start, n): the covered stretches of each text that has any."""
     seen = corpus.texts().mapInArrow(_anchors(length, k), "h long, doc long, pos int, more array<struct<doc:bigint,pos:int>>")
-    total = seen.withColumn("_n", F.sum(F.size("more") + 1).over(W.partitionBy("h"))).filter("_n > 1")
-    each = total.select((F.col("_n") > hot).alias("hot"), F.explode(F.concat(F.array(F.struct("doc", "pos")), "more")).alias("p"))
-    spots = saved(each.groupBy(F.col("p.doc").alias("key")).agg(F.collect_list("p.pos").alias("pos"), F.collect_list("hot").alias("hot")), "suffix-anchors")
-    texts = corpus.texts(spots.select("key")).join(spots, "key")
-    rows = texts.select("key", "text", "pos", "hot").mapInArrow(_contexts(length, k), _ROW)
-    parts = rows.repartition("h").sortWithinPartitions("kind", "h").mapInArrow(_settled(length), "doc long, start long, n long")
-    return saved(parts.groupBy(F.col("doc").alias("key")).agg(F.sort_array(F.collect_list(F.struct("start", "n"))).alias("spans")), "suffix-spans")
+    seen = saved(seen, "suffix-seen")
+    total = seen.groupBy("h").agg(F.sum(F.size("more") + 1).alias("_n")).filter("_n > 1")
+    each = seen.join(total, "h").select(F.ceil(F.col("_n") / run).cast("int").alias("runs"), F.explode(F.concat(F.array(F.struct("doc", "pos")), "more")).alias("p"))
+    spots = saved(each.groupBy(F.col("p.doc").alias("key")).agg(F.collect_list(F.struct("p.pos", "runs")).alias("spots")), "suffix-anchors")
+    freed(seen)
+    rows = corpus.texts().join(spots, "key").select("key", "text", "spots").mapInArrow(_contexts(length, k), _ROW)
+    parts = []
+    while True:
+        done = saved(rows.repartition("h", "run").sortWithinPartitions("h", "run", "kind").mapInArrow(_settled(length), _ROW), "suffix-level")
+        parts.append(done)
+        left = done.filter("kind = 0")
+        if left.isEmpty():
+            break
+        # Anchors that can't grow any more are merged in fewer and fewer runs.
+        share = F.when(F.col("lo") + F.col("hi") + 1 < length, run).otherwise(run << len(parts))
+        sums = left.groupBy("h").agg(F.ceil(F.count("*") / F.max(share)).cast("int").alias("_runs"))
+        rows = left.join(sums, "h").withColumn("runs", F.col("_runs")).withColumn("run", F.pmod(F.xxhash64("doc", "start"), F.col("_runs")).cast("int")).select(*_TYPES)
+    freed(spots)
+    spans = [p.filter("kind = 2").select("doc", "start", F.col("n").cast("long").alias("n")) for p in parts]
+    every = reduce(DataFrame.unionByName, spans)
+    out = saved(every.groupBy(F.col("doc").alias("key")).agg(F.sort_array(F.collect_list(F.struct("start", "n"))).alias("spans")), "suffix-spans")
+    freed(*parts)
+    return out
 
 
 def _merged(spans: list[dict]) -> list[tuple[int, int]]:
@@ -275,6 +305,7 @@ def _kept(text: bytes, runs: list[tuple[int, int]]) -> bytes:
 
 
 def _cutter(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """key, n_removed, n_spans, kept_sha256, kept: of texts with covered stretches."""
     for batch in batches(it, "text", PIECE_BYTES):
         removed, count, sha, kept = [], [], [], []
         for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
@@ -287,11 +318,11 @@ def _cutter(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(removed, pa.int64()), pa.array(count, pa.int64()), pa.array(sha, pa.string()), pa.array(kept, pa.binary())], ["key", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
-def cut_texts(corpus: Corpus, length: int = LENGTH) -> DataFrame:
-    """key, n_removed, n_spans, kept_sha256, kept (bytes) of the texts with covered stretches."""
-    spans = covered(corpus, length)
-    source = corpus.texts(spans.select("key")).join(spans, "key")
-    return source.select("key", "text", "spans").mapInArrow(_cutter, "key long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+def _shortened(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows as they came, and ``new``: the remaining text, without characters cut in two; null where nothing is covered."""
+    for batch in batches(it, "text", PIECE_BYTES):
+        new = [None if spans is None else _kept(text, _merged(spans)).decode("utf-8", "ignore") for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(new, pa.string())], ["row", "new"])
 
 
 def _with_keys(rows: DataFrame, corpus: Corpus) -> DataFrame:
@@ -303,7 +334,8 @@ def _with_keys(rows: DataFrame, corpus: Corpus) -> DataFrame:
 def removed(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row."""
     corpus = Corpus(docs)
-    done = cut_texts(corpus, length).drop("kept")
+    spans = covered(corpus, length)
+    done = corpus.texts().join(spans, "key").select("key", "text", "spans").mapInArrow(_cutter, "key long, n_removed long, n_spans long, kept_sha256 string, kept binary").drop("kept")
     out = _with_keys(corpus.rows, corpus).join(done, "key", "left")
     whole = F.col("key").isNull() & (F.col("n_bytes") >= length)
     return out.select(
@@ -316,13 +348,23 @@ def removed(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
 
 def cut(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """``docs`` without the covered bytes; characters cut in two go, and so do documents of which nothing is left."""
+    """``docs`` without the covered bytes; characters cut in two go, and so do documents of which nothing is left.
+
+    ``n_chars``, where there is such a column, is brought up to date; all other columns stay, whatever they are called.
+    Copies of texts of under ``length`` bytes stay as they are.
+    """
     corpus = Corpus(docs)
-    done = cut_texts(corpus, length).select("key", F.try_validate_utf8("kept").alias("_whole"), F.make_valid_utf8(F.col("kept").cast("string")).alias("_mended"))
-    rows = _with_keys(docs.withColumn("sha", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)), corpus).join(done, "key", "left")
-    copy = F.col("key").isNull() & (F.octet_length(F.coalesce("text", F.lit(""))) >= length)
-    new = F.coalesce(F.col("_whole"), F.replace(F.col("_mended"), F.lit("�"), F.lit("")), F.col("text"))
-    rows = rows.filter(~copy).withColumn("_new", new).filter(F.col("_mended").isNull() | (F.col("_new") != ""))
-    fresh = {"text": F.col("_new"), "n_chars": F.length("_new").cast("bigint")}
-    changed = F.col("_mended").isNotNull()
-    return rows.select(*[F.when(changed, fresh[c]).otherwise(F.col(c)).alias(c) if c in fresh else F.col(c) for c in docs.columns])
+    spans = covered(corpus, length)
+    whole = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    if corpus.plain:  # a key is a document id: one exchange for both joins
+        keyed = whole.withColumn("key", F.col("doc_id"))
+        copies = corpus.rows.join(corpus.classes, ["sha", "doc_id"], "left_anti").filter(F.col("n_bytes") >= length).select(F.col("doc_id").alias("key"))
+        rows = keyed.join(copies, "key", "left_anti").join(spans, "key", "left")
+    else:
+        keyed = _with_keys(whole.withColumn("sha", F.sha2("text", 256)), corpus)
+        rows = keyed.filter(F.col("key").isNotNull() | (F.length("text") < length)).join(spans, "key", "left")
+    kind = rows.schema["row"].dataType.simpleString()
+    out = rows.select("row", "text", "spans").mapInArrow(_shortened, f"row {kind}, new string").filter(F.col("new").isNull() | (F.col("new") != ""))
+    fresh = {"text": F.col("new"), "n_chars": F.length("new").cast("bigint")}
+    field = lambda c: F.col("row").getField(c)
+    return out.select(*[(F.when(F.col("new").isNotNull(), fresh[c]).otherwise(field(c)) if c in fresh else field(c)).alias(c) for c in docs.columns])

@@ -11,9 +11,19 @@ from __future__ import annotations
 
 import numpy as np
 
-from .shingles import mix, powers
+from .hashing import mix
 
 _VALUE = np.random.default_rng(23).integers(1, 1 << 63, 256, np.int64).view(np.uint64)
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+_BACK = np.uint64(pow(int(_STEP), -1, 1 << 64))
+_powers: list[np.ndarray] = []
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    if not _powers or len(_powers[0]) <= n:
+        grow = lambda x: np.cumprod(np.concatenate([[np.uint64(1)], np.full(max(2 * n, 1 << 20), x)]))
+        _powers[:] = [grow(_STEP), grow(_BACK)]
+    return _powers[0], _powers[1]
 
 
 class Text:
@@ -98,14 +108,20 @@ def sort_segments(text: Text, at: np.ndarray, n: int, segment: np.ndarray) -> tu
         place = base + block + (q - block - np.where(right, width, 0)) + (lo - first)
         order[place] = mine
         width *= 2
+    # Collision verification: neighbours' bytes must be in order, and tell whether they are equal.
     same = np.zeros(len(at), bool)
-    same[1:] = (segment[order[1:]] == segment[order[:-1]]) & (names[order[1:]] == names[order[:-1]])
-    # Collision verification.
     view = np.lib.stride_tricks.sliding_window_view(text.bytes, n)
-    hit = np.flatnonzero(same)
-    for i in range(0, len(hit), 1 << 15):
-        part = hit[i : i + (1 << 15)]
-        if not (view[at[order[part]]] == view[at[order[part - 1]]]).all():
+    met = np.flatnonzero(segment[order[1:]] == segment[order[:-1]]) + 1
+    if (np.bincount(order, minlength=len(at)) != 1).any():
+        return _sorted_plainly(text, at, n, segment)
+    for i in range(0, len(met), 1 << 15):
+        part = met[i : i + (1 << 15)]
+        x, y = view[at[order[part - 1]]], view[at[order[part]]]
+        differ = x != y
+        first = differ.argmax(axis=1)
+        rows = np.arange(len(part))
+        same[part] = ~differ[rows, first]
+        if (x[rows, first] > y[rows, first]).any() or (same[part] & (order[part - 1] > order[part])).any():
             return _sorted_plainly(text, at, n, segment)
     return order, same
 
