@@ -3,19 +3,19 @@
 Inner products become distances: with B an upper bound of all squared norms,
 the point (x, sqrt(B - |x|^2)) lies at squared distance |q|^2 + B - 2 q.x from
 (q, 0), so that the largest products are the nearest points.  Candidates are
-split into shards; each shard is bulk-loaded into a paged M-tree of two levels
-of routing entries, which hold a pivot, a covering radius and the distance to
-the parent's pivot, and leaves, whose entries hold the distance to the leaf's
-pivot.  A block of queries is searched best first: each query visits its
-leaves by growing lower bound and stops when that passes its k-th distance.
-The triangle inequality with stored parent distances discards leaf entries
-without a distance computation.  Routing entries don't profit: each query's
-distances to all pivots of the shard are computed, and ``computed`` and
-``avoided`` count leaf entries only.
+split into shards; each shard is bulk-loaded once into a paged M-tree: routing
+entries on two levels, which hold a pivot, a covering radius and the distance
+to the parent's pivot, and leaves, whose entries hold the distance to the
+leaf's pivot.  A block of queries is searched best first: each query opens the
+node of its least lower bound, until that passes its k-th distance.  A node
+enters with the bound that its parent's distance gives; the distance to its own
+pivot is computed only when it comes first, and may put it back.  Within a leaf
+the same inequality discards entries.  ``computed`` and ``avoided`` count the
+distances to leaf entries, ``opened`` and ``closed`` those to leaves' pivots.
 
 Scores are integers and ties are exact: distances only prune, with a margin
 for rounding.  Queries meet shards by an equi-join on (shard, block of
-queries); a task holds one shard and one block, both bounded.
+queries); a task holds one shard's tree and one block, both bounded.
 
 Defined results: vectors that are null or hold null or non-finite components
 take no part, nor do rows with a null id; vectors meet those of their own
@@ -26,6 +26,7 @@ vector; an empty table gives an empty result; further columns don't matter.
 
 from __future__ import annotations
 
+import io
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,7 +39,7 @@ from .shared import saved
 
 SHARD_ROWS = 16_384
 QUERY_ROWS = 4_096
-LEAF, FAN = 256, 8
+LEAF, FAN = 128, 8
 #: Products up to here are exact in float64.
 EXACT = 1 << 52
 
@@ -64,7 +65,22 @@ class Tree:
         self.to_root = np.linalg.norm(self.pivot - self.root[self.up], axis=1)  # of routing entries to their parent
         self.root_radius = np.zeros(len(self.root))
         np.maximum.at(self.root_radius, self.up, self.to_root + self.radius)
-        self.computed = self.avoided = 0
+        self.computed = self.avoided = self.opened = self.closed = 0
+
+    def dump(self) -> bytes:
+        """The tree's arrays in one file."""
+        out = io.BytesIO()
+        np.savez(out, **{k: v for k, v in vars(self).items() if isinstance(v, np.ndarray)}, bound=self.bound)
+        return out.getvalue()
+
+    @classmethod
+    def load(cls, data: bytes) -> Tree:
+        tree = cls.__new__(cls)
+        with np.load(io.BytesIO(data)) as f:
+            vars(tree).update({k: f[k] for k in f.files})
+        tree.bound = float(tree.bound)
+        tree.computed = tree.avoided = tree.opened = tree.closed = 0
+        return tree
 
     @staticmethod
     def _group(p: np.ndarray, k: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
@@ -90,24 +106,32 @@ class Tree:
         dist = lambda a, b: np.sqrt(np.maximum(np.einsum("ij,ij->i", a, a)[:, None] + np.einsum("ij,ij->i", b, b) - 2 * a @ b.T, 0))
         blur = 1e-6 * (1 + np.sqrt(self.bound))  # of distances taken by the expanded square
         to_root = dist(qf, self.root)
-        low_root = np.maximum(to_root - self.root_radius - blur, 0)
-        # Lower bounds of the leaves from the parent's distance alone; then the leaf's own where the node is opened.
-        low = np.maximum(np.abs(to_root[:, self.up] - self.to_root) - self.radius - blur, low_root[:, self.up])
-        near = dist(qf, self.pivot)
-        low = np.maximum(low, near - self.radius - blur)
-        order = np.argsort(low, axis=1)
+        # A leaf's bound before its own pivot's distance is known: from its parent's distance, and from its parent's cover.
+        low = np.maximum(np.abs(to_root[:, self.up] - self.to_root) - self.radius, to_root[:, self.up] - self.root_radius[self.up]) - blur
+        near = np.full(low.shape, np.nan)
         best_s = np.full((nq, k), np.iinfo(np.int64).min)
         best_i = np.full((nq, k), np.iinfo(np.int64).max)
         kth = np.full(nq, np.inf)
         qq = np.einsum("ij,ij->i", qf, qf)
-        turn, active = 0, np.arange(nq)
-        n_leaf = len(self.pivot)
-        while len(active) and turn < n_leaf:
-            step = 1 if turn < 4 else 4
-            pairs_q = np.repeat(active, min(step, n_leaf - turn))
-            pairs_l = order[active, turn : turn + step].ravel()
+        active = np.arange(nq)
+        while len(active):
+            leaf = np.argmin(low[active], axis=1)
+            live = low[active, leaf] <= kth[active] + slack
+            live &= np.isfinite(low[active, leaf])
+            active, leaf = active[live], leaf[live]
+            # Nodes that come first without their own distance get it, and may have to wait.
+            far = np.isnan(near[active, leaf])
+            q1, l1 = active[far], leaf[far]
+            d = np.concatenate([np.zeros(0)] + [np.linalg.norm(qf[q1[a : a + 4096]] - self.pivot[l1[a : a + 4096]], axis=1) for a in range(0, len(q1), 4096)])
+            near[q1, l1] = d
+            low[q1, l1] = np.maximum(low[q1, l1], d - self.radius[l1] - blur)
+            self.opened += len(q1)
+            ready = ~far
+            ready[far] = low[q1, l1] <= np.min(low[q1], axis=1)
+            pairs_q, pairs_l = active[ready], leaf[ready]
             ok = low[pairs_q, pairs_l] <= kth[pairs_q] + slack
             pairs_q, pairs_l = pairs_q[ok], pairs_l[ok]
+            low[pairs_q, pairs_l] = np.inf
             by = np.argsort(pairs_l, kind="stable")
             pairs_q, pairs_l = pairs_q[by], pairs_l[by]
             cuts = np.flatnonzero(np.concatenate([[True], pairs_l[1:] != pairs_l[:-1]])) if len(pairs_l) else np.zeros(0, np.int64)
@@ -140,9 +164,7 @@ class Tree:
                 full = best_i[some, -1] != np.iinfo(np.int64).max
                 some = some[full]
                 kth[some] = np.sqrt(np.maximum(qq[some] + self.bound - 2.0 * best_s[some, -1], 0)) + blur
-            turn += step
-            if turn < n_leaf:
-                active = active[low[active, order[active, turn]] <= kth[active] + slack]
+        self.closed += int(np.isnan(near).sum())
         at, col = np.nonzero(best_i != np.iinfo(np.int64).max)
         return at, best_i[at, col], best_s[at, col]
 
@@ -176,19 +198,27 @@ def top_k(vectors: DataFrame, every: int = 20, k: int = 20, scale: float = 64.0)
     shard = _packed(v.withColumn("shard", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(shards))), ["dim", "shard"])
     asks = v.filter(F.col("vec_id") % every == 0).dropDuplicates(["vec_id", "x"])
     asks = _packed(asks.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(blocks))), ["dim", "block"]).select("dim", "block", F.col("ids").alias("qids"), F.col("xs").alias("qxs"))
-    tasks = shard.withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))))
-    paired = tasks.join(asks, ["dim", "block"]).select("dim", "ids", "xs", "qids", "qxs").repartition(shards * blocks)
+
+    def flat(batch: pa.RecordBatch, column: str, i: int) -> np.ndarray:
+        return batch.column(column)[i].values.to_numpy(zero_copy_only=False)
+
+    def build(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            for i in range(batch.num_rows):
+                dim, ids = batch.column("dim")[i].as_py(), flat(batch, "ids", i)
+                tree = Tree(ids, flat(batch, "xs", i).reshape(len(ids), dim)).dump()
+                yield pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), batch.column("shard").slice(i, 1), pa.array([tree], pa.binary())], ["dim", "shard", "tree"])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             for i in range(batch.num_rows):
-                dim = batch.column("dim")[i].as_py()
-                flat = lambda c, i=i, batch=batch: batch.column(c)[i].values.to_numpy(zero_copy_only=False)
-                ids, qids = flat("ids"), flat("qids")
-                tree = Tree(ids, flat("xs").reshape(len(ids), dim))
-                at, vec, score = tree.search(qids, flat("qxs").reshape(len(qids), dim), k)
+                tree, qids = Tree.load(batch.column("tree")[i].as_py()), flat(batch, "qids", i)
+                at, vec, score = tree.search(qids, flat(batch, "qxs", i).reshape(len(qids), -1), k)
                 yield pa.RecordBatch.from_arrays([pa.array(qids[at]), pa.array(vec), pa.array(score)], ["query_id", "vec_id", "score"])
 
+    every_one = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
+    trees = saved(shard.mapInArrow(build, "dim int, shard long, tree binary"), "trees").withColumn("block", every_one(blocks))
+    paired = trees.join(asks.withColumn("shard", every_one(shards)), ["dim", "shard", "block"]).select("tree", "qids", "qxs").repartition(shards * blocks)
     found = paired.mapInArrow(run, "query_id long, vec_id long, score long")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
