@@ -38,11 +38,9 @@ RULES = ("length", "symbols", "symbol_share", "marked_words", "lines", "repeats"
 def _repeat_words(w: Column) -> Column:
     """Number of words that lie in a 3-word window found twice or more in the text.
 
-    The windows' 64-bit hashes are sorted with the window's index in the low
-    22 bits; neighbours whose full hashes agree are repeats.  Texts of over
-    four million words sort (hash, index) pairs instead.
+    The windows' 64-bit hashes are sorted together with the windows' indices;
+    equal neighbours are repeats.
     """
-    mask = F.lit((1 << 22) - 1)
 
     def spread(starts: Column) -> Column:
         """Words covered by the windows that begin at the ascending ``starts``."""
@@ -55,19 +53,8 @@ def _repeat_words(w: Column) -> Column:
             ),
         )
 
-    def by_packed(h: Column) -> Column:
-        packed = F.sort_array(F.transform(h, lambda x, i: x.bitwiseAND(F.bitwise_not(mask.cast("bigint"))).bitwiseOR(i.cast("bigint"))))
-        at = lambda p: p.bitwiseAND(mask.cast("bigint")).cast("int")
-
-        def starts(p: Column) -> Column:
-            same = lambda a, b: h.getItem(at(a)) == h.getItem(at(b))
-            twin = F.filter(p, lambda x, k: ((k > 0) & same(x, F.get(p, k - 1))) | ((k < F.size(p) - 1) & same(x, F.get(p, k + 1))))
-            return F.sort_array(F.transform(twin, at))
-
-        return spread(let(packed, starts))
-
     def by_pairs(h: Column) -> Column:
-        pairs = F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+        pairs = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
 
         def starts(p: Column) -> Column:
             twin = F.filter(p, lambda x, k: ((k > 0) & (x["h"] == F.get(p, k - 1)["h"])) | ((k < F.size(p) - 1) & (x["h"] == F.get(p, k + 1)["h"])))
@@ -77,7 +64,7 @@ def _repeat_words(w: Column) -> Column:
 
     def count(v: Column) -> Column:
         hashes = F.transform(F.sequence(F.lit(0), F.size(v) - 3), lambda i: F.xxhash64(F.get(v, i), F.get(v, i + 1), F.get(v, i + 2)))
-        return F.when(F.size(v) < 3, F.lit(0).cast("bigint")).when(F.size(v) < 1 << 22, let(hashes, by_packed)).otherwise(let(hashes, by_pairs))
+        return F.when(F.size(v) < 3, F.lit(0).cast("bigint")).otherwise(by_pairs(hashes))
 
     return let(w, count)
 

@@ -8,12 +8,16 @@ filter (one 64-bit word a block, four bits a key) over the rules' keys drops
 nearly all keys that no rule has; what passes meets the rules in an exact hash
 join, which removes false positives.  Only DataFrame functions are used.
 
-The filter and the rules are broadcast only when their counted size is within
-``BROADCAST_BYTES``; else both are ordinary equi-joins.
+Equal urls are judged once; a page's row waits outside and meets its url's rule
+at the end.  Filter and rules are broadcast only when their counted size is
+within ``BROADCAST_BYTES``; else distinct keys, not urls, meet them in ordinary
+equi-joins (a key like ``com/`` that most urls have arrives once from each
+task), and what is found joins the urls by key, where the rules' side has a row
+a key and Spark can split a hot one.
 
 Defined results: null urls and urls without ``://`` have an empty host and
-path and get the default verdict; repeated rows are judged one by one (equal
-ones are judged once and multiplied); of rules with the same host and path
+path and get the default verdict; repeated rows are each given the
+verdict of their url; of rules with the same host and path
 "block" wins; rules with a null host, path or verdict are left out; an empty
 table gives an empty table; further columns don't matter.
 """
@@ -69,23 +73,24 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
     n, size, lengths = known.agg(F.count("*"), F.coalesce(F.sum(F.length("_rule")), F.lit(0)), F.collect_set("_pl")).first()  # as many lengths as paths have, a few thousand at most
     blocks = max(1, -(-n * BITS_A_KEY // 64))
     small = 2 * size + 64 * n <= BROADCAST_BYTES
-    side = F.broadcast if small else (lambda df: df)
-
     host, path = host_and_path(F.col("url"))
-    p = pages.select("page_id", "url", host.alias("host"), path.alias("path"))
+    p = pages.filter("url is not null").select("url").distinct().withColumns({"host": host, "path": path}).filter("host <> ''")
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     lens = F.filter(F.array(*[F.lit(x) for x in sorted(lengths)]).cast("array<int>"), lambda x: x <= F.length("path"))
     prefixes = F.transform(lens, lambda x: F.substring(F.col("path"), F.lit(1), x))
-    keys = F.when(F.col("host") == "", F.array().cast("array<string>")).otherwise(F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda q: F.concat(s, F.lit("\n"), q)))))
-    # A null key stands for the row itself, so that rows which no rule fits stay.
-    each = _hashed(p.withColumn("_key", F.explode(F.array_append(keys, F.lit(None).cast("string")))), "_key", blocks)
-    possible = each.join(side(bloom(known, blocks)), "_block", "left").filter(F.col("_key").isNull() | (F.col("_word").bitwiseAND(F.col("_mask")) == F.col("_mask")))
-    hits = possible.select("page_id", "url", "host", "path", "_key").join(side(known), F.col("_key") == F.col("_rule"), "left")
-    best = F.max(F.when(F.col("rule").isNotNull(), F.struct((F.col("_hl") + F.col("_pl")).alias("n"), "_hl", "rule", "verdict")))
-    out = hits.groupBy("page_id", "url", "host", "path").agg(best.alias("_best"), F.sum(F.col("_key").isNull().cast("int")).alias("_n"))
-    out = out.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_n"))))
-    return out.select("page_id", "host", "path", F.col("_best.rule").alias("rule"), F.coalesce("_best.verdict", F.lit(default)).alias("verdict"))
+    keys = F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda q: F.concat(s, F.lit("\n"), q))))
+    each = p.select("url", F.explode(keys).alias("_key"))
+    passes = F.col("_word").bitwiseAND(F.col("_mask")) == F.col("_mask")
+    if small:
+        possible = _hashed(each, "_key", blocks).join(F.broadcast(bloom(known, blocks)), "_block").filter(passes)
+        hits = possible.join(F.broadcast(known), F.col("_key") == F.col("_rule"))
+    else:
+        possible = _hashed(each.select("_key").distinct(), "_key", blocks).join(bloom(known, blocks), "_block").filter(passes)
+        hits = each.join(possible.select("_key").join(known, F.col("_key") == F.col("_rule")), "_key")
+    best = hits.groupBy("url").agg(F.max(F.struct((F.col("_hl") + F.col("_pl")).alias("n"), "_hl", "rule", "verdict")).alias("_best"))
+    out = pages.select("page_id", "url").join(best, "url", "left")
+    return out.select("page_id", host.alias("host"), path.alias("path"), F.col("_best.rule").alias("rule"), F.coalesce("_best.verdict", F.lit(default)).alias("verdict"))
 
 
 _CASES = ",\n    ".join(f"('{h}', '{p}', '{v}')" for h, p, v in RULES)

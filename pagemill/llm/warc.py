@@ -36,7 +36,7 @@ CHUNK = 1 << 18
 FILE_BYTES = 256 << 20
 NO_DIGEST = hashlib.sha1(b"").hexdigest()
 MANIFEST = "path string, n_records long, n_bytes long"
-RECORD = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string"
+RECORD = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, path string, error string"
 
 
 class WarcError(ValueError):
@@ -136,81 +136,132 @@ def _members(stream) -> Iterator[Iterator[bytes]]:
         yield pieces()
 
 
-def read_records(stream, payloads: bool = False) -> Iterator[dict]:
-    """The records of an open archive, in order: header fields, payload_bytes, payload_digest, and ``payload`` if asked for."""
-    for member in _members(stream):
-        head = bytearray()
-        while (end := head.find(b"\r\n\r\n")) < 0:
-            piece = next(member, None)
-            if piece is None:
-                raise WarcError("no end of the record header")
-            head += piece
-        lines = head[:end].decode().split("\r\n")
-        if not lines[0].startswith("WARC/"):
-            raise WarcError(f"not a record: {lines[0][:40]!r}")
-        field = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
-        left = int(field["content-length"])
-        sha1, n, held, http, after = hashlib.sha1(), 0, bytearray(), bytearray(), bytearray()
-        in_http = True
-
-        def take(data: bytes) -> None:
-            nonlocal left, n, in_http, http
-            block, extra = data[:left], data[left:]
-            left -= len(block)
-            after.extend(extra)
-            if in_http:
-                http += block
-                if (cut := http.find(b"\r\n\r\n")) >= 0:
-                    in_http, block = False, bytes(http[cut + 4 :])
-                    http = http[:cut]
-                else:
-                    return
-            sha1.update(block)
-            n += len(block)
-            if payloads:
-                held.extend(block)
-
-        take(bytes(head[end + 4 :]))
-        for piece in member:
-            take(piece)
-        if left or bytes(after) != b"\r\n\r\n" or in_http:
-            raise WarcError(f"{field.get('warc-record-id')}: the block isn't as long as Content-Length says")
-        stated = field["warc-payload-digest"].removeprefix("sha1:")
-        length = int(re.search(rb"(?i)\r\ncontent-length:\s*(\d+)", http)[1])
-        if field["warc-type"] == "response" and (base64.b32encode(sha1.digest()).decode() != stated or n != length):
-            raise WarcError(f"{field.get('warc-record-id')}: the payload doesn't have its digest or length")
-        yield {"field": field, "payload_bytes": length, "payload_digest": stated, "payload": bytes(held) if payloads else None}
+def _record_of(member: Iterator[bytes], payloads: bool) -> dict:
+    head = bytearray()
+    while (end := head.find(b"\r\n\r\n")) < 0:
+        piece = next(member, None)
+        if piece is None:
+            raise WarcError("no end of the record header")
+        head += piece
+    lines = head[:end].decode("utf-8", "replace").split("\r\n")
+    if not lines[0].startswith("WARC/"):
+        raise WarcError(f"not a record: {lines[0][:40]!r}")
+    field = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
+    name = field.get("warc-record-id")
+    if not field.get("content-length", "").isdigit():
+        raise WarcError(f"{name}: no Content-Length")
+    left = int(field["content-length"])
+    sha1, n, held, http, after = hashlib.sha1(), 0, bytearray(), bytearray(), bytearray()
+    # The payload of a record that holds an HTTP message comes after that message's header; else it is the whole block.
+    message = field.get("content-type", "").replace(" ", "").lower().startswith("application/http")
+    in_http = message
+
+    def take(data: bytes) -> None:
+        nonlocal left, n, in_http, http
+        block, extra = data[:left], data[left:]
+        left -= len(block)
+        after.extend(extra)
+        if in_http:
+            http += block
+            if (cut := http.find(b"\r\n\r\n")) < 0:
+                return
+            in_http, block = False, bytes(http[cut + 4 :])
+            http = http[:cut]
+        sha1.update(block)
+        n += len(block)
+        if payloads:
+            held.extend(block)
+
+    take(bytes(head[end + 4 :]))
+    for piece in member:
+        take(piece)
+    if left or bytes(after) != b"\r\n\r\n" or in_http:
+        raise WarcError(f"{name}: the block isn't as long as Content-Length says")
+    kind, stated = field.get("warc-type", ""), field.get("warc-payload-digest", "")
+    digest = base64.b32encode(sha1.digest()).decode()
+    length = re.search(rb"(?i)\r\ncontent-length:[ \t]*(\d+)", http)
+    if kind == "revisit":  # what the payload was is known from the header only
+        size, digest = (int(length[1]) if length else None), (stated.removeprefix("sha1:") or None)
+    else:
+        size = n
+        if message and length and int(length[1]) != n:
+            raise WarcError(f"{name}: the payload isn't as long as the message says")
+        if stated.startswith("sha1:") and stated.removeprefix("sha1:") != digest:
+            raise WarcError(f"{name}: the payload doesn't have its digest")
+    return {"field": field, "record_type": kind, "payload_bytes": size, "payload_digest": digest, "payload": bytes(held) if payloads else None, "error": None}
+
+
+def read_records(stream, payloads: bool = False, strict: bool = True) -> Iterator[dict]:
+    """The records of an open archive, in order: header fields, record_type, payload_bytes, payload_digest, and ``payload`` if asked for.
+
+    Any WARC type is read (warcinfo, request, metadata ...); a missing digest is
+    computed, one of another kind than SHA-1 isn't held against the payload.  A
+    bad record raises; unless ``strict`` it becomes a record with an ``error``
+    and reading goes on with the next member, if the file can still be inflated.
+    """
+    bad = lambda e: {"field": {}, "record_type": None, "payload_bytes": None, "payload_digest": None, "payload": None, "error": str(e)}
+    members = _members(stream)
+    while True:
+        try:
+            member = next(members, None)
+            if member is None:
+                return
+            try:
+                record = _record_of(member, payloads)
+            except WarcError as e:
+                if strict:
+                    raise
+                for _ in member:
+                    pass
+                record = bad(e)
+        except (WarcError, zlib.error) as e:
+            if strict:
+                raise
+            yield bad(e)
+            return
+        yield record
 
 
 def _page(urn: str | None) -> int | None:
-    return None if urn is None or urn == "<urn:page:none>" else int(urn[len("<urn:page:") : -1])
-
-
-def _reader(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string())])
-    for batch in source:
-        for path in batch.column("path").to_pylist():
-            fs, name = _open(path)
-            rows: list[tuple] = []
-            with fs.open_input_stream(name, compression=None) as stream:
-                for r in read_records(stream):
-                    f = r["field"]
-                    rows.append((_page(f["warc-record-id"]), f["warc-target-uri"], f["warc-type"], _page(f.get("warc-refers-to")), r["payload_bytes"], r["payload_digest"]))
-                    if len(rows) == 4096:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
-                        rows = []
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
-
-
-def read_archives(manifest: DataFrame) -> DataFrame:
-    """A row for each record of the manifest's files; a file is read by one task, in one pass."""
+    """The page id in a record id of ours; null for others."""
+    found = re.fullmatch(r"<urn:page:(-?\d+)>", urn or "")
+    return int(found[1]) if found else None
+
+
+def _reader(strict: bool):
+    schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("path", pa.string()), ("error", pa.string())])
+    pack = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in source:
+            for path in batch.column("path").to_pylist():
+                fs, name = _open(path)
+                rows: list[tuple] = []
+                with fs.open_input_stream(name, compression=None) as stream:
+                    for r in read_records(stream, strict=strict):
+                        f = r["field"]
+                        rows.append((_page(f.get("warc-record-id")), f.get("warc-target-uri"), r["record_type"], _page(f.get("warc-refers-to")), r["payload_bytes"], r["payload_digest"], path, r["error"]))
+                        if len(rows) == 4096:
+                            yield pack(rows)
+                            rows = []
+                if rows:
+                    yield pack(rows)
+
+    return run
+
+
+def read_archives(manifest: DataFrame, strict: bool = False) -> DataFrame:
+    """A row for each record of the manifest's files; a file is read by one task, in one pass.
+
+    Bad records have null fields, their file's path and an ``error``; where
+    ``strict`` they end the job.
+    """
     n = max(1, manifest.count())
-    return manifest.select("path").repartition(n).mapInArrow(_reader, RECORD)
+    return manifest.select("path").repartition(n).mapInArrow(_reader(strict), RECORD)
 
 
 def round_trip(spark: SparkSession, pages: DataFrame) -> DataFrame:
-    return read_archives(write_archives(pages, new_path(spark, "warc")))
+    return read_archives(write_archives(pages, new_path(spark, "warc")), strict=True)
 
 
 _CHARS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
