@@ -62,7 +62,7 @@ def oversample(auto: DataFrame, verified: DataFrame, times: int = 4) -> DataFram
 
 def sample_mix(df: DataFrame, key: str, shares: dict[str, float], by: str) -> DataFrame:
     """Keep each class's share of its rows, chosen by hashed key."""
-    u = F.pmod(F.xxhash64(key), F.lit(10_000)) / 10_000
+    u = F.conv(F.substring(F.md5(F.col(key).cast("string").cast("binary")), 1, 8), 16, 10).cast("bigint") / float(1 << 32)
     keep = F.lit(False)
     for name, share in shares.items():
         keep = keep | ((F.col(by) == name) & (u < share))

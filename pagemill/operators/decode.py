@@ -112,3 +112,8 @@ def strip_spaces(df: DataFrame) -> DataFrame:
 def text_of(tokens: Column, alphabet: str, unknown: str = "\ufffd") -> Column:
     """The characters of 0-based tokens; U+FFFD for one that the alphabet doesn't have."""
     return F.array_join(F.transform(tokens, lambda t: F.when((t >= 0) & (t < len(alphabet)), F.substring(F.lit(alphabet), t.cast("int") + 1, F.lit(1))).otherwise(F.lit(unknown))), "")
+
+
+def from_percent(confidence_: Column) -> Column:
+    """A reader's confidence in percent, negative for none, as a share."""
+    return F.greatest(confidence_, F.lit(0)) / 100.0

@@ -203,8 +203,8 @@ _add(
     _deltas,
     _RECURSIVE
     + _GREEDY
-    + """, m AS (SELECT a.*, b.x AS jx, b.y AS jy, b.w AS jw, b.h AS jh, b.seq AS jseq FROM regions a LEFT JOIN (SELECT * FROM f WHERE hit) g ON g.page = a.page AND g.lseq = a.seq LEFT JOIN jitter b ON b.page = g.page AND b.seq = g.rseq)
-SELECT count(*) AS n, count(jseq) AS matched, CAST(sum(CASE WHEN greatest(abs(x - jx), abs(y - jy)) > 20 OR greatest(abs(w - jw), abs(h - jh)) > 40 THEN 1 ELSE 0 END) AS BIGINT) AS shifted, round(100 * count(jseq) / count(*), 6) AS matched_percent FROM m""",
+    + """, mm AS (SELECT a.*, b.x AS jx, b.y AS jy, b.w AS jw, b.h AS jh, b.seq AS jseq FROM regions a LEFT JOIN (SELECT * FROM f WHERE hit) g ON g.page = a.page AND g.lseq = a.seq LEFT JOIN jitter b ON b.page = g.page AND b.seq = g.rseq)
+SELECT count(*) AS n, count(jseq) AS matched, CAST(sum(CASE WHEN greatest(abs(x - jx), abs(y - jy)) > 20 OR greatest(abs(w - jw), abs(h - jh)) > 40 THEN 1 ELSE 0 END) AS BIGINT) AS shifted, round(100 * count(jseq) / count(*), 6) AS matched_percent FROM mm""",
 )
 
 
@@ -293,13 +293,20 @@ _add(
     _kernel(_g(raster.gauss5)),
     f"WITH {V.V_RASTER}, k(i, w) AS (VALUES {', '.join(f'({i}, {w})' for i, w in enumerate(raster.GAUSS.ravel().tolist()))}) SELECT a.page, a.y, a.x, CAST(sum(b.v * k.w) // 273 AS BIGINT) AS v FROM gray a, k, gray b WHERE b.page = a.page AND b.y = least(greatest(a.y + k.i // 5 - 2, 0), 23) AND b.x = least(greatest(a.x + k.i % 5 - 2, 0), 31) GROUP BY 1, 2, 3",
 )
-_add("opened", _kernel(_g(raster.opened)))
-_add("closed", _kernel(_g(raster.closed)))
-_add("despeckle", _kernel(_g(lambda g: raster.despeckle(raster.adaptive_threshold(g)))))
+_square = lambda src, agg: f"SELECT a.page, a.y, a.x, {agg}(b.v) AS v FROM {src} a JOIN {src} b ON a.page = b.page AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1 GROUP BY 1, 2, 3"
+_add("opened", _kernel(_g(raster.opened)), f"WITH {V.V_RASTER}, e AS ({_square('gray', 'min')}) {_square('e', 'max')}")
+_add("closed", _kernel(_g(raster.closed)), f"WITH {V.V_RASTER}, e AS ({_square('gray', 'max')}) {_square('e', 'min')}")
 _add("bilateral", _kernel(_g(raster.bilateral)))
 _add("deskew", _kernel(_g(raster.deskew)))
 _add("preprocess_chain", _kernel(_g(raster.preprocess)))
-_add("detection_mask", _kernel(lambda rgb: raster.masks(rgb)[0]))
+_wide = lambda src: f"SELECT page, y, x, max(v) OVER (PARTITION BY page, y ORDER BY x {_EDGE.format(b=9, a=10)}) AS v FROM {src}"
+_high = lambda src: f"SELECT page, y, x, max(v) OVER (PARTITION BY page, x ORDER BY y {_EDGE.format(b=1, a=1)}) AS v FROM {src}"
+_add(
+    "detection_mask",
+    _kernel(lambda rgb: raster.masks(rgb)[0]),
+    f"""{_BLUR}, ink AS (SELECT a.page, a.y, a.x, CAST(CASE WHEN a.v <= avg(b.v) - 4 THEN 255 ELSE 0 END AS BIGINT) AS v FROM blur a JOIN blur b ON a.page = b.page AND abs(a.y - b.y) <= 7 AND abs(a.x - b.x) <= 7 GROUP BY a.page, a.y, a.x, a.v),
+h1 AS ({_wide('ink')}), v1 AS ({_high('h1')}), h2 AS ({_wide('v1')}) {_high('h2')}""",
+)
 _add("detect_regions", lambda s, sf: raster.detect_pages(V.raster(s)))
 _ink = lambda s: raster.pixels(raster.on_pages(V.raster(s), _g(raster.adaptive_threshold)))
 _INK = f"WITH {V.V_RASTER}, ink AS (SELECT a.page, a.y, a.x, CASE WHEN a.v <= avg(b.v) - 4 THEN 255 ELSE 0 END AS v FROM gray a JOIN gray b ON a.page = b.page AND abs(a.y - b.y) <= 7 AND abs(a.x - b.x) <= 7 GROUP BY a.page, a.y, a.x, a.v)"
@@ -323,15 +330,23 @@ def _components(s: SparkSession, sf: str) -> DataFrame:
     return d.withColumn("ang", F.round("ang", 4)).drop("seq")
 
 
+_REACH = """reach(page, y, x, id, root) AS (SELECT page, y, x, id, id FROM fg UNION SELECT n.page, n.y, n.x, n.id, r.root FROM reach r JOIN fg n ON n.page = r.page AND abs(n.y - r.y) + abs(n.x - r.x) = 1 AND n.id > r.root),
+lab AS (SELECT page, y, x, id, min(root) AS root FROM reach GROUP BY ALL)"""
+_LABELS = f"""WITH RECURSIVE {_INK.removeprefix("WITH ")}, fg AS (SELECT page, y, x, y * 32 + x AS id FROM ink WHERE v > 0), {_REACH}"""
+_add("component_moments", lambda s, sf: _components(s, sf).drop("ang"), f"{_LABELS} SELECT page, min(x) AS x, min(y) AS y, max(x) - min(x) + 1 AS w, max(y) - min(y) + 1 AS h, count(*) AS n FROM lab GROUP BY page, root")
+_add(
+    "component_orientation",
+    lambda s, sf: _components(s, sf).select("page", "x", "y", "ang"),
+    f"""{_LABELS}, m AS (SELECT page, min(x) AS x0, min(y) AS y0, degrees(0.5::DOUBLE * atan2(2 * (avg(x * y) - avg(x) * avg(y)), (avg(x * x) - avg(x) * avg(x)) - (avg(y * y) - avg(y) * avg(y)))) AS a FROM lab GROUP BY page, root)
+SELECT page, x0 AS x, y0 AS y, round(CASE WHEN a < 0 THEN a + 180 ELSE a END, 4) AS ang FROM m""",
+)
 _add(
-    "component_moments",
-    lambda s, sf: _components(s, sf).drop("ang"),
-    f"""WITH RECURSIVE {_INK.removeprefix("WITH ")}, fg AS (SELECT page, y, x, y * 32 + x AS id FROM ink WHERE v > 0),
-reach(page, y, x, id, root) AS (SELECT page, y, x, id, id FROM fg UNION SELECT n.page, n.y, n.x, n.id, r.root FROM reach r JOIN fg n ON n.page = r.page AND abs(n.y - r.y) + abs(n.x - r.x) = 1 AND n.id > r.root),
-lab AS (SELECT page, y, x, id, min(root) AS root FROM reach GROUP BY ALL)
-SELECT page, min(x) AS x, min(y) AS y, max(x) - min(x) + 1 AS w, max(y) - min(y) + 1 AS h, count(*) AS n FROM lab GROUP BY page, root""",
+    "despeckle",
+    _kernel(_g(lambda g: raster.despeckle(raster.adaptive_threshold(g)))),
+    f"""WITH RECURSIVE {_INK.removeprefix("WITH ")}, fg AS (SELECT page, y, x, y * 32 + x AS id FROM ink WHERE v = 0), {_REACH},
+n AS (SELECT page, y, x, count(*) OVER (PARTITION BY page, root) AS n FROM lab)
+SELECT i.page, i.y, i.x, CAST(CASE WHEN n.n < 10 THEN 255 ELSE i.v END AS BIGINT) AS v FROM ink i LEFT JOIN n ON n.page = i.page AND n.y = i.y AND n.x = i.x""",
 )
-_add("component_orientation", lambda s, sf: _components(s, sf).select("page", "x", "y", "ang"))
 
 # ---- decoding --------------------------------------------------------------------------------------------------------
 
@@ -436,9 +451,9 @@ _add("confidence_gate", lambda s, sf: _lines(s, sf).filter(curate.all_confident(
 _add("review_routing", lambda s, sf: V.table(s, sf, "events").select("event_id", curate.review_route(c("value") % 1).alias("route")), "SELECT event_id, CASE WHEN value % 1 > 0.95 THEN 'accept' WHEN value % 1 >= 0.7 THEN 'flag' ELSE 'review' END AS route FROM events")
 _add("number_predicate", lambda s, sf: V.lines(s, sf).select("page", "seq", F.regexp_extract("line", r"^(\S+)", 1).rlike(r"^-?[\d\s]+$").alias("number"), c("line").rlike(r"^\d+\s*\(\d+\)$").alias("marker")), rf"WITH {V.V_LINES} SELECT page, seq, regexp_matches(regexp_extract(line, '^(\S+)', 1), '^-?[\d\s]+$') AS number, regexp_matches(line, '^\d+\s*\(\d+\)$') AS marker FROM lines")
 _add("seeded_sample", lambda s, sf: curate.seeded_order(V.table(s, sf, "documents").select("doc_id"), "doc_id", "7", 25), "SELECT doc_id FROM documents ORDER BY md5(doc_id || '7'), doc_id LIMIT 25")
-_add("target_mix", lambda s, sf: curate.sample_mix(V.table(s, sf, "documents").select("doc_id", "lang"), "doc_id", {"en": 0.5, "de": 0.4, "fr": 0.1}, "lang"))
-_add("gray16_to_8", lambda s, sf: V.table(s, sf, "events").select("event_id", F.shiftright((c("event_id") * 977 % 65536).cast("int"), 8).alias("v")), "SELECT event_id, CAST((event_id * 977 % 65536) >> 8 AS INTEGER) AS v FROM events")
-_add("ocr_confidence", lambda s, sf: V.table(s, sf, "events").select("event_id", (F.greatest(c("event_id") % 120 - 10, F.lit(0)) / 100.0).alias("p")), "SELECT event_id, greatest(event_id % 120 - 10, 0) / 100.0::DOUBLE AS p FROM events")
+_add("target_mix", lambda s, sf: curate.sample_mix(V.table(s, sf, "documents").select("doc_id", "lang"), "doc_id", {"en": 0.5, "de": 0.4, "fr": 0.1}, "lang"), "SELECT doc_id, lang FROM (SELECT doc_id, lang, ('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM documents) WHERE u < CASE lang WHEN 'en' THEN 0.5 WHEN 'de' THEN 0.4 WHEN 'fr' THEN 0.1 ELSE 0 END")
+_add("gray16_to_8", lambda s, sf: V.table(s, sf, "events").select("event_id", readers.byte_of(c("event_id") * 977 % 65536).alias("v")), "SELECT event_id, CAST((event_id * 977 % 65536) >> 8 AS INTEGER) AS v FROM events")
+_add("ocr_confidence", lambda s, sf: V.table(s, sf, "events").select("event_id", decode.from_percent(c("event_id") % 120 - 10).alias("p")), "SELECT event_id, greatest(event_id % 120 - 10, 0) / 100.0::DOUBLE AS p FROM events")
 
 
 # ---- comparison, errors and display --------------------------------------------------------------------------------------
@@ -465,7 +480,7 @@ _add("display_text", lambda s, sf: V.lines(s, sf).select("page", "seq", evaluate
 _add("page_union", lambda s, sf: V.lines(s, sf).select("page", "seq").unionAll(V.jitter(s, sf).select("page", "seq")), f"WITH {V.V_JITTER} SELECT page, seq FROM lines UNION ALL SELECT page, seq FROM jitter")
 _add("sibling_arrays", lambda s, sf: evaluate.siblings(V.table(s, sf, "documents").select("doc_id", F.split("text", "\n").alias("a"), F.split("lang", "").alias("b")), "a", "b").select("doc_id", "k", F.length("a").cast("bigint").alias("a"), "b"), "SELECT doc_id, CAST(k AS INTEGER) AS k, length(a[k + 1]) AS a, b[k + 1] AS b FROM (SELECT doc_id, a, b, unnest(range(0, greatest(len(a), len(b)))) AS k FROM (SELECT doc_id, string_split(text, chr(10)) AS a, string_split(lang, '') AS b FROM documents))")
 _add("gathered_results", lambda s, sf: evaluate.gathered(V.jitter(s, sf).select("page", "seq", c("w").alias("read")), V.regions(s, sf).select("page", "seq"), ["page", "seq"]), f"WITH {V.V_JITTER} SELECT r.page, r.seq, j.w AS read FROM regions r LEFT JOIN jitter j ON j.page = r.page AND j.seq = r.seq")
-_add("eta", lambda s, sf: V.table(s, sf, "events").select("event_id", evaluate.progress(c("event_id") % 50, F.lit(50), c("value")).alias("p")).select("event_id", F.round("p.rate", 6).alias("rate"), F.round("p.eta", 2).alias("eta")), "SELECT event_id, round(CASE WHEN value > 0 THEN event_id % 50 / value ELSE 0 END, 6) AS rate, round(CASE WHEN value > 0 AND event_id % 50 > 0 THEN (50 - event_id % 50) / (event_id % 50 / value) ELSE 0 END, 2) AS eta FROM events")
+_add("eta", lambda s, sf: V.table(s, sf, "events").select("event_id", evaluate.progress(c("event_id") % 50, F.lit(50), c("value")).alias("p")).select("event_id", F.round("p.rate", 6).alias("rate"), F.floor("p.eta").alias("eta")), "SELECT event_id, round(CASE WHEN value > 0 THEN event_id % 50 / value ELSE 0 END, 6) AS rate, CAST(floor(CASE WHEN value > 0 AND event_id % 50 > 0 THEN (50 - event_id % 50) / (event_id % 50 / value) ELSE 0 END) AS BIGINT) AS eta FROM events")
 _LETTERS = " ab"
 _text = lambda s, sf: _lines(s, sf).withColumn("text", decode.text_of(c("tokens"), _LETTERS))
 _add(

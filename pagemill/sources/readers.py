@@ -54,6 +54,11 @@ def _rgb(bgr: np.ndarray) -> bytes:
     return np.ascontiguousarray(bgr[..., 2::-1]).tobytes()
 
 
+def byte_of(sample: Column) -> Column:
+    """The upper byte of a 16-bit sample."""
+    return F.shiftright(sample.cast("int"), 8)
+
+
 class UnsupportedImage(ValueError):
     pass
 
