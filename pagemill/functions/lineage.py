@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame
@@ -13,7 +14,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder:
-            if not spark.sparkContext.master.startswith("local["):
+            if not re.match(r"local(\[|$)", spark.sparkContext.master):
                 raise RuntimeError("spark.checkpoint.dir names no folder that all executors share")
             folder = "file://" + tempfile.mkdtemp(prefix="pagemill-")
         spark.sparkContext.setCheckpointDir(folder)
