@@ -470,7 +470,7 @@ _PAIRS = ", ".join(f"('{x}', '{y}', '{x}{y}')" for x, y in evaluate.CONFUSION_PA
 _add(
     "confusion_pairs",
     lambda s, sf: evaluate.confusion_rates(V.pairs(s, sf).withColumn("hyp", F.translate("ref", "äöÄÖ", "aoAØ"))),
-    f"""{_P}, ch AS (SELECT substr(ref, i, 1) AS r, substr(translate(ref, 'äöÄÖ', 'aoAØ'), i, 1) AS h FROM (SELECT ref, unnest(range(1, length(ref) + 1)) AS i FROM pairs)),
+    f"""{_P}, ch AS (SELECT unnest(string_split(ref, '')) AS r, unnest(string_split(translate(ref, 'äöÄÖ', 'aoAØ'), '')) AS h FROM pairs),
 n AS (SELECT r, h, count(*) AS n FROM ch GROUP BY 1, 2), k(x, y, pair) AS (VALUES {_PAIRS}),
 s AS (SELECT pair, coalesce(sum(n), 0) AS total, coalesce(sum(CASE WHEN (r = x AND h = y) OR (r = y AND h = x) THEN n END), 0) AS confused FROM k LEFT JOIN n ON r = x OR r = y GROUP BY pair)
 SELECT pair, CAST(total AS BIGINT) AS total, CAST(confused AS BIGINT) AS confused, round(CASE WHEN total > 0 THEN confused / total::DOUBLE ELSE 0 END, 6) AS rate FROM s""",
