@@ -11,13 +11,16 @@ windows have equal anchors at the same distance.
    windows share an anchor) to their anchor's hash and are suffix-sorted there,
    windows of equal distance from the anchor together; of equal windows all but
    the first are covered.  Contexts that are equal within a batch of documents
-   are settled in place, their bytes compared.
+   are settled in place, and those that are equal at their anchor before the
+   sort, their bytes compared; windows whose hash no other has at its anchor
+   and distance aren't sorted.
 4. An anchor with more than RUN contexts is dealt into runs, each sorted by a
    task of its own.  What is the first of its kind in its run goes on to the
    next level under a longer anchor: windows that reach ``step`` bytes further
    to the right, and the others, which reach as much further to the left.
    Copies of one passage so meet once a run, and different passages around a
-   common anchor part; no task holds more than about a run.
+   common anchor part; contexts alone at their new anchor are settled.  No task
+   holds more than about a run.
 5. Covered stretches are merged by document and cut out.
 
 Defined results: null texts are empty; a null id orders after all others; rows
@@ -174,30 +177,78 @@ def _settled(length: int):
     return run
 
 
+def _packed(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All bytes of the column ``bytes``, where each row's begin, and their number."""
+    c = pa.concat_arrays(t.column("bytes").chunks)
+    ends = np.frombuffer(c.buffers()[1], np.int32)[c.offset : c.offset + len(c) + 1].astype(np.int64)
+    return np.frombuffer(c.buffers()[2], np.uint8)[ends[0] : ends[-1]], ends[:-1] - ends[0], np.diff(ends)
+
+
+def _copies(text: Text, off: np.ndarray, size: np.ndarray, group: np.ndarray, n: np.ndarray, back: np.ndarray) -> np.ndarray:
+    """Whether a context, of those in order, equals an earlier one of its group whole, its bytes compared."""
+    name = text.names(off, size) ^ mix((n * 1024 + back).astype(np.uint64)).view(np.int64)
+    order = np.lexsort((name, group))
+    p, o = order[:-1], order[1:]
+    twin = np.flatnonzero((group[o] == group[p]) & (name[o] == name[p]) & (n[o] == n[p]) & (back[o] == back[p])) + 1
+    out = np.zeros(len(order), bool)
+    out[order[twin]] = _alike(text.bytes, off, size, twin, order)
+    return out
+
+
+def _met(key: np.ndarray) -> np.ndarray:
+    """Whether a value, of those in order, occurs more than once."""
+    out = np.zeros(len(key), bool)
+    eq = key[1:] == key[:-1]
+    out[1:] |= eq
+    out[:-1] |= eq
+    return out
+
+
 def _by_suffix(t: pa.Table, length: int) -> Iterator[pa.RecordBatch]:
-    col = lambda x: t.column(x).to_numpy().astype(np.int64)
-    h, run, n, back, doc, start = (col(x) for x in ("h", "run", "n", "back", "doc", "start"))
-    raw = t.column("bytes").to_pylist()
-    text = Text(b"".join(raw))
-    off = np.concatenate([[0], np.cumsum([len(x) for x in raw])[:-1]]).astype(np.int64)
-    c = np.repeat(np.arange(len(n)), n)
-    j = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    h, run, doc, start = (t.column(x).to_numpy() for x in ("h", "run", "doc", "start"))
     group = np.cumsum(np.concatenate([[0], (h[1:] != h[:-1]) | (run[1:] != run[:-1])]))
+    met = np.bincount(group)[group]
+    runs = t.column("runs").to_numpy()
+    # Contexts alone at their anchor are settled.
+    use = np.flatnonzero((met > 1) | (runs > 1))
+    use = use[np.lexsort((start[use], doc[use], group[use]))]
+    if not len(use):
+        return
+    t, group = t.take(pa.array(use)), group[use]
+    col = lambda x: t.column(x).to_numpy().astype(np.int64)
+    n, back, doc, start = (col(x) for x in ("n", "back", "doc", "start"))
+    data, off, size = _packed(t)
+    text = Text(data)
+    copy = _copies(text, off, size, group, n, back)
+    yield _row_batch(kind=np.full(int(copy.sum()), 2), doc=doc[copy], start=start[copy], n=size[copy])
+    # Of equal contexts the first stays, and what is then alone at its anchor is settled, too.
+    alone = np.bincount(group[~copy], minlength=int(group[-1]) + 1)[group] == 1
+    sort = np.flatnonzero(~copy & ~alone)
+    c = np.repeat(sort, n[sort])
+    j = np.arange(len(c)) - np.repeat(np.cumsum(n[sort]) - n[sort], n[sort])
+    # Contexts are in order, and so are windows of one anchor and distance.
     key = group[c] * (length + 1) + back[c] - j
-    order = np.lexsort((start[c] + j, doc[c], key))
+    order = np.argsort(key, kind="stable")
     key_o = key[order]
-    # Windows alone at their anchor and distance are settled.
+    # Windows alone at their anchor and distance are settled, and so are those with a hash of their own there.
+    order = order[_met(key_o)]
+    name = mix(text.names((off[c] + j)[order], length).view(np.uint64) ^ key[order].astype(np.uint64))
+    by = np.argsort(name)
     twin = np.zeros(len(order), bool)
-    eq = key_o[1:] == key_o[:-1]
-    twin[1:] |= eq
-    twin[:-1] |= eq
+    twin[by] = _met(name[by])
     order = order[twin]
     place, same = sort_segments(text, (off[c] + j)[order], length, key[order])
     hit = order[place[same]]
     yield from _stretches(doc[c[hit]], (start[c] + j)[hit], length)
     # First in a run of several: on to the next level.
-    alive = (col("runs") > 1)[c]
-    alive[hit] = False
+    alive = (col("runs") > 1) & ~copy
+    if not alive.any():
+        return
+    gone = np.zeros(int(n.sum()), bool)
+    gone[((np.cumsum(n) - n)[c] + j)[hit]] = True
+    c = np.repeat(np.arange(len(n)), n)
+    j = np.arange(len(c)) - np.repeat(np.cumsum(n) - n, n)
+    alive = alive[c] & ~gone
     lo, hi = col("lo"), col("hi")
     step = np.maximum((length - lo - hi) // 2, 0)
     step = np.minimum(step, (length - 24) // 4)
@@ -212,9 +263,10 @@ def _by_suffix(t: pa.Table, length: int) -> Iterator[pa.RecordBatch]:
     x, at, r = c[live[begin]], j[live[begin]], right[live[begin]]
     lo, hi = np.where(r, lo[x], lo[x] + step[x]), np.where(r, hi[x] + step[x], hi[x])
     name = text.names(off[x] + back[x] - lo, lo + hi) ^ r
+    raw = data.tobytes()
     yield _row_batch(
         kind=np.zeros(len(x)), h=name, lo=lo, hi=hi, doc=doc[x], start=start[x] + at, n=size, back=back[x] - at,
-        bytes=[raw[p][q : q + m] for p, q, m in zip(x.tolist(), at.tolist(), (size + length - 1).tolist(), strict=True)],
+        bytes=[raw[p : p + m] for p, m in zip((off[x] + at).tolist(), (size + length - 1).tolist(), strict=True)],
     )
 
 
@@ -273,9 +325,9 @@ def covered(corpus: Corpus, length: int = LENGTH, k: int = K, run: int = RUN) ->
         left = done.filter("kind = 0")
         if left.isEmpty():
             break
-        # Anchors that can't grow any more are merged in fewer and fewer runs.
+        # Contexts alone at their new anchor are settled.  Anchors that can't grow any more are merged in fewer and fewer runs.
         share = F.when(F.col("lo") + F.col("hi") + 1 < length, run).otherwise(run << len(parts))
-        sums = left.groupBy("h").agg(F.ceil(F.count("*") / F.max(share)).cast("int").alias("_runs"))
+        sums = left.groupBy("h").agg(F.count("*").alias("_n"), F.max(share).alias("_share")).filter("_n > 1").select("h", F.ceil(F.col("_n") / F.col("_share")).cast("int").alias("_runs"))
         rows = left.join(sums, "h").withColumn("runs", F.col("_runs")).withColumn("run", F.pmod(F.xxhash64("doc", "start"), F.col("_runs")).cast("int")).select(*_TYPES)
     freed(spots)
     spans = [p.filter("kind = 2").select("doc", "start", F.col("n").cast("long").alias("n")) for p in parts]
