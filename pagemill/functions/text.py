@@ -5,11 +5,13 @@ from __future__ import annotations
 import re
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pagemill.functions.distance import distance
+from pagemill.functions.codes import code_points, pieces
+from pagemill.functions.distance import distances
 
 #: Letters counted as diacritics by the evaluator, and the wider set of the charset (fixed values).
 EVALUATED_LETTERS = "åäöøæÅÄÖØÆ"
@@ -40,19 +42,22 @@ def has_nordic(s: Column) -> Column:
 
 
 def _edits(a: Column, b: Column, ids) -> Column:
-    def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None or y is None else 0 if x == y else distance(*ids(x, y)) for x, y in zip(a, b, strict=True)], dtype="Int32")
+    def run(a: pa.Array, b: pa.Array) -> pa.Array:
+        there = pc.and_(a.is_valid(), b.is_valid())
+        out = [distances(*ids(x, y)) for x, y in pieces(a, b)]
+        return pa.array(np.concatenate([np.zeros(0, np.int64), *out]), pa.int32(), mask=~there.to_numpy(zero_copy_only=False))
 
-    return F.pandas_udf(run, "int")(a, b)
+    return F.arrow_udf(run, "int")(a, b)
 
 
-def _chars(*texts: str) -> list[np.ndarray]:
-    return [np.frombuffer(s.encode("utf-32-le"), "<u4").astype(np.int64) for s in texts]
+def _chars(*texts: pa.Array) -> list[np.ndarray]:
+    return [x for t in texts for x in code_points(t)]
 
 
-def _words(*texts: str) -> list[np.ndarray]:
+def _words(*texts: pa.Array) -> list[np.ndarray]:
     known: dict[str, int] = {}
-    return [np.array([known.setdefault(w, len(known)) for w in re.split(r"[ \t\n\x0b\f\r]+", s) if w], np.int64) for s in texts]
+    lists = [[[known.setdefault(w, len(known)) for w in re.split(r"[ \t\n\x0b\f\r]+", s or "") if w] for s in t.to_pylist()] for t in texts]
+    return [x for t in lists for x in (np.array([w for ws in t for w in ws], np.int64), np.array([len(ws) for ws in t], np.int64))]
 
 
 def levenshtein(a: Column, b: Column) -> Column:
