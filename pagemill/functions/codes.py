@@ -1,4 +1,4 @@
-"""Code points of Arrow's strings."""
+"""Code points of Arrow's strings, and symbols of sequences that lie one after another."""
 
 from __future__ import annotations
 
@@ -33,3 +33,30 @@ def code_points(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def of_points(points: np.ndarray) -> pa.Array:
     """A string for each code point; null where it is negative."""
     return pa.array([chr(x) if x >= 0 else None for x in points.tolist()], pa.string())
+
+
+def places(at: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Where the symbols of sequences lie, one sequence after another."""
+    t = np.int32 if not len(n) or (at + n).max() < 1 << 31 else np.int64
+    total = int(n.sum())
+    return np.repeat((at - (np.cumsum(n) - n)).astype(t), n) + np.arange(total, dtype=t)
+
+
+def tallied(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Different pairs of code points (-1: none) at equal places of both: the two, where they stand first, and how often."""
+    low = 1 + max(int(a.max(initial=0)), int(b.max(initial=0)))
+    known = np.zeros(low + 1, bool)
+    known[a] = known[b] = True  # -1 is the last one
+    kinds = np.flatnonzero(known)
+    code = np.zeros(low + 1, np.int64)
+    code[kinds] = np.arange(len(kinds))
+    key = code[a] * len(kinds) + code[b]
+    if len(kinds) <= 1024:
+        count, first = np.bincount(key, minlength=len(kinds) ** 2), np.zeros(len(kinds) ** 2, np.int64)
+        first[key[::-1]] = np.arange(len(key))[::-1]
+        keys = np.flatnonzero(count)
+        count, first = count[keys], first[keys]
+    else:
+        keys, first, count = np.unique(key, return_index=True, return_counts=True)
+    kinds = np.where(kinds == low, -1, kinds)
+    return np.stack([kinds[keys // len(kinds)], kinds[keys % len(kinds)]]), first, count

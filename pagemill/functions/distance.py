@@ -6,6 +6,8 @@ from itertools import pairwise
 
 import numpy as np
 
+from pagemill.functions.codes import places
+
 #: Symbols that are looked at in one go, entries of a table of masks, and kinds of symbols that bounds tell apart (a power of two).
 _GO, _MASKS, _KINDS = 1 << 20, 1 << 22, 128
 #: Rough microseconds: a pair by itself, and a step of all pairs side by side.
@@ -41,19 +43,12 @@ def distances(a: np.ndarray, n: np.ndarray, b: np.ndarray, m: np.ndarray) -> np.
     return out
 
 
-def _places(at: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Where the symbols of sequences lie, one sequence after another."""
-    t = np.int32 if not len(n) or (at + n).max() < 1 << 31 else np.int64
-    total = int(n.sum())
-    return np.repeat((at - (np.cumsum(n) - n)).astype(t), n) + np.arange(total, dtype=t)
-
-
 def _bounds(flat, out, rows, at, n, to, m) -> tuple[np.ndarray, ...]:
     """Set ``out`` where bounds decide; the other rows, without equal ends: row, begin and length of the shorter and of the longer one."""
     at, n, to, m = at[rows], n[rows], to[rows], m[rows]
     out[rows] = m - n
     end = np.cumsum(n)
-    wrong = np.flatnonzero(flat[_places(at, n)] != flat[_places(to, n)])
+    wrong = np.flatnonzero(flat[places(at, n)] != flat[places(to, n)])
     first, last = np.searchsorted(wrong, end - n), np.searchsorted(wrong, end)
     head = np.minimum(np.append(wrong, end[-1:])[first] - (end - n), n)
     unequal = np.where(n == m, last - first, -1)
@@ -62,13 +57,13 @@ def _bounds(flat, out, rows, at, n, to, m) -> tuple[np.ndarray, ...]:
     rows, at, n, to, m, unequal = rows[k], at[k] + head[k], n[k] - head[k], to[k] + head[k], m[k] - head[k], unequal[k]
 
     end = np.cumsum(n)
-    wrong = np.flatnonzero(flat[_places(at, n)] != flat[_places(to + m - n, n)])
+    wrong = np.flatnonzero(flat[places(at, n)] != flat[places(to + m - n, n)])
     tail = np.minimum(end - 1 - np.insert(wrong, 0, -1)[np.searchsorted(wrong, end)], n)
     k = np.flatnonzero(tail < n)
     rows, at, n, to, m, unequal = rows[k], at[k], n[k] - tail[k], to[k], m[k] - tail[k], unequal[k]
 
     # The surplus of symbols, of kinds at least: an edit takes away one at most.
-    of_a, of_b = flat[_places(at, n)], flat[_places(to, m)]
+    of_a, of_b = flat[places(at, n)], flat[places(to, m)]
     kind = np.arange(len(rows)) * _KINDS
     kind_a, kind_b = np.repeat(kind, n) + (of_a & _KINDS - 1), np.repeat(kind, m) + (of_b & _KINDS - 1)
     in_a = np.bincount(kind_a, minlength=len(rows) * _KINDS)
@@ -116,7 +111,7 @@ def _table(a: np.ndarray, b: np.ndarray) -> int:
 
 def _tables(flat, at, n, to, m) -> np.ndarray:
     """The same of many pairs side by side, the longest first: 64 symbols at most are the bits of a number, the others' symbols the steps."""
-    known = np.unique(flat[_places(at, n)])
+    known = np.unique(flat[places(at, n)])
     code = np.zeros(int(flat.max()) + 1, np.int64)
     code[known] = np.arange(1, len(known) + 1)
     wide, score = len(known) + 1, n.copy()
@@ -130,7 +125,7 @@ def _block(flat, code, wide, at, n, to, m) -> np.ndarray:
     one = np.uint64(1)
     base = np.arange(len(n)) * wide
     masks = np.zeros(len(n) * wide, np.uint64)
-    np.bitwise_or.at(masks, np.repeat(base, n) + code[flat[_places(at, n)]], one << _places(0 * n, n).astype(np.uint64))
+    np.bitwise_or.at(masks, np.repeat(base, n) + code[flat[places(at, n)]], one << places(0 * n, n).astype(np.uint64))
     top = (n - 1).astype(np.uint64)
     up, down, score = np.full(len(n), ~np.uint64(0)), np.zeros(len(n), np.uint64), n.copy()
     for j, k in enumerate(np.searchsorted(-m, -np.arange(int(m[0])), "left").tolist()):

@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T_
 from pyspark.sql import Window as W
 
 from pagemill.functions import text as T
+from pagemill.functions.codes import PIECE, code_points, of_points, pieces, places, tallied
 
 c = F.col
 
@@ -33,23 +40,61 @@ def exact(p: DataFrame) -> DataFrame:
     return p.agg(F.count("*").alias("n"), _count(c("ref") == c("hyp")).alias("correct")).withColumn("accuracy", r6(c("correct") / F.greatest(c("n"), F.lit(1))))
 
 
-def _positions(p: DataFrame) -> DataFrame:
-    """The characters of both lines by place; null past a line's end."""
-    chars = lambda k: F.filter(F.split(k, ""), lambda ch: ch != "").alias(k)
-    return p.select("page", "seq", F.posexplode(F.arrays_zip(chars("ref"), chars("hyp"))).alias("_i", "_z")).select("page", "seq", "_i", "_z.ref", "_z.hyp")
+def _tally(p: DataFrame, letters: str | None = None) -> DataFrame:
+    """Characters at equal places of both lines, counted: ref, hyp, n, and the first place as page, seq, _i.
+
+    Only unequal ones of the common length; with ``letters`` all places where the reference has one of them, hyp null past the hypothesis' end.
+    Counted by batch: the same two characters come once from each piece of one.
+    """
+    schema = T_.StructType([T_.StructField("ref", T_.StringType()), T_.StructField("hyp", T_.StringType()), T_.StructField("n", T_.LongType()), p.schema["page"], p.schema["seq"], T_.StructField("_i", T_.IntegerType())])
+    d = p.select("page", "seq", "ref", "hyp").mapInArrow(lambda it: _tallies(it, letters), schema)
+    return d.groupBy("ref", "hyp").agg(F.sum("n").alias("n"), F.min(F.struct("page", "seq", "_i")).alias("_first"))
+
+
+def _tallies(it: Iterator[pa.RecordBatch], letters: str | None, size: int = PIECE) -> Iterator[pa.RecordBatch]:
+    for batch in it:
+        t = pa.table(batch).filter(pc.field("ref").is_valid() & pc.field("hyp").is_valid())
+        if not t.num_rows:
+            continue
+        t = t.take(pc.sort_indices(t, [("page", "ascending"), ("seq", "ascending")], null_placement="at_start")).combine_chunks()
+        done = 0
+        for x, y in pieces(t["ref"].chunk(0), t["hyp"].chunk(0), size=size):
+            k, i, ref, hyp, n = _counted(*code_points(x), *code_points(y), letters)
+            at = t.select(["page", "seq"]).take(k + done)
+            done += len(x)
+            out = [of_points(ref), of_points(hyp), pa.array(n), at["page"], at["seq"], pa.array(i, pa.int32())]
+            yield from pa.table(out, names=["ref", "hyp", "n", "page", "seq", "_i"]).combine_chunks().to_batches()
+
+
+def _counted(a: np.ndarray, n: np.ndarray, b: np.ndarray, m: np.ndarray, letters: str | None) -> tuple[np.ndarray, ...]:
+    """Of the code points of lines one after another, n and m long: row, place, both code points (-1: none) and number of each two, by their first place."""
+    end, to = np.cumsum(n), np.cumsum(m) - m
+    if letters is None:
+        common = np.minimum(n, m)
+        i, j = places(end - n, common), places(to, common)
+        k = np.flatnonzero(a[i] != b[j])
+        i, other = i[k], b[j[k]]
+    else:
+        known = np.zeros(1 + max(a.max(initial=0), *map(ord, letters)), bool)
+        known[[ord(x) for x in letters]] = True
+        i = np.flatnonzero(known[a])
+        row = np.searchsorted(end, i, "right")
+        place = i - (end - n)[row]
+        other = np.append(b, np.int32(-1))[np.where(place < m[row], to[row] + place, len(b))]
+    both, first, count = tallied(a[i], other)
+    row = np.searchsorted(end, i[first], "right")
+    return row, i[first] - (end - n)[row], *both, count
 
 
 def confusions(p: DataFrame, top: int = 20) -> DataFrame:
     """The most frequent unequal characters at equal places of the common length."""
-    e = _positions(p).select(c("ref").alias("true_char"), c("hyp").alias("pred_char"), "page", "seq", "_i").filter("true_char <> pred_char")
-    n = e.groupBy("true_char", "pred_char").agg(F.count("*").alias("n"), F.min(F.struct("page", "seq", "_i")).alias("_first"))
-    return n.orderBy(F.desc("n"), "_first").limit(top).drop("_first")
+    return _tally(p).select(c("ref").alias("true_char"), c("hyp").alias("pred_char"), "n", "_first").orderBy(F.desc("n"), "_first").limit(top).drop("_first")
 
 
 def diacritics(p: DataFrame, letters: str = T.EVALUATED_LETTERS) -> DataFrame:
     """By letter: total, correct, accuracy; places past the hypothesis count as missing."""
-    e = _positions(p).select(c("ref").alias("letter"), F.coalesce("hyp", F.lit("")).alias("_h")).filter(c("letter").isin(*letters))
-    return e.groupBy("letter").agg(F.count("*").alias("total"), _count(c("letter") == c("_h")).alias("correct")).withColumn("accuracy", r6(c("correct") / c("total")))
+    right = F.when(c("ref") == c("hyp"), c("n")).otherwise(F.lit(0))
+    return _tally(p, letters).groupBy(c("ref").alias("letter")).agg(F.sum("n").alias("total"), F.sum(right).alias("correct")).withColumn("accuracy", r6(c("correct") / c("total")))
 
 
 def length_buckets(p: DataFrame) -> DataFrame:
@@ -181,7 +226,7 @@ def confusion_rates(p: DataFrame, pairs=CONFUSION_PAIRS) -> DataFrame:
     """For each pair of letters: how often either stands in the reference, how often the other was read instead, and the share."""
     table = p.sparkSession.createDataFrame([(x, y, x + y) for z in pairs for x, y in (z, z[::-1])], "ref string, other string, pair string")
     table = table.withColumn("pair", F.when(c("pair").isin(*pairs), c("pair")).otherwise(F.reverse("pair")))
-    seen = _positions(p).filter(c("ref").isin(*sorted({x for z in pairs for x in z}))).groupBy("ref", "hyp").agg(F.count("*").alias("_n"))
+    seen = _tally(p, "".join(sorted({x for z in pairs for x in z}))).select("ref", "hyp", c("n").alias("_n"))
     g = table.join(F.broadcast(seen), "ref", "left").groupBy("pair").agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("total"), F.coalesce(F.sum(F.when(c("hyp") == c("other"), c("_n"))), F.lit(0)).alias("confused"))
     return g.withColumn("rate", r6(F.when(c("total") > 0, c("confused") / c("total")).otherwise(0.0)))
 
