@@ -9,7 +9,7 @@ import numpy as np
 from pagemill.functions.codes import places
 
 #: Symbols that are looked at in one go, entries of a table of masks, and kinds of symbols that bounds tell apart (a power of two).
-_GO, _MASKS, _KINDS = 1 << 20, 1 << 22, 128
+_GO, _MASKS, _KINDS = 1 << 18, 1 << 22, 128
 #: Rough microseconds: a pair by itself, and a step of all pairs side by side.
 _ALONE, _STEP = 100, 20
 

@@ -2,6 +2,7 @@
 
 import random
 import time
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from pagemill.functions import codes
 from pagemill.functions import distance as D
 from pagemill.functions import text as T
+from pagemill.operators import evaluate
 from tests.test_whole import plain
 
 
@@ -57,3 +59,26 @@ def test_null_lines(spark):
     d = spark.createDataFrame([(0, "abc", "axc"), (1, None, "a"), (2, "a", None), (3, "", "é日"), (4, "a b", "a")], "k int, a string, b string")
     got = d.select("k", T.levenshtein(F.col("a"), F.col("b")).alias("c"), T.word_edits(F.col("a"), F.col("b")).alias("w")).orderBy("k").collect()
     assert [(r.c, r.w) for r in got] == [(1, 1), (None, None), (None, None), (2, 1), (2, 1)]
+
+
+def test_memory():
+    """Bounds hold a slice's numbers at a time, not a batch's (16 MB here; 31 with slices of 1 << 20 symbols)."""
+    a = ["word after word, " * 60] * 1500
+    x = T._chars(pa.array(a), pa.array([s.replace(" ", "") for s in a]))
+    tracemalloc.start()
+    D.distances(*x)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2 * sum(x[k].nbytes for k in (0, 2))
+
+
+def test_three_way(spark):
+    rng = random.Random(9)
+    rows = [(k % 7, k, v, a, pair(rng)[0]) for k, (v, a) in enumerate(pair(rng) for _ in range(400))]
+    d = spark.createDataFrame(rows, "page long, seq long, v string, a string, b string").repartition(3)
+    cer = lambda v, x: plain(v, x) / len(v) if v else float(x != "")
+    (got,) = evaluate.three_way(d).collect()
+    assert (got.n, got.a_exact, got.b_exact) == (400, sum(r[2] == r[3] for r in rows), sum(r[2] == r[4] for r in rows))
+    assert [got.a_cer_sum, got.b_cer_sum] == pytest.approx([sum(cer(r[2], r[k]) for r in rows) for k in (3, 4)], abs=1e-5)
+    pages = evaluate.three_way_pages(d).collect()
+    assert len(pages) == 7 and sum(r.a_cer_sum for r in pages) == pytest.approx(got.a_cer_sum, abs=1e-4)
