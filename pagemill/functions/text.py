@@ -61,7 +61,7 @@ def _words(*texts: pa.Array) -> list[np.ndarray]:
 
 
 def levenshtein(a: Column, b: Column) -> Column:
-    """Levenshtein distance in characters; for all pairs of sf0.1 in 2.4 s locally, Spark's own in 11.9 s."""
+    """Levenshtein distance in characters, taken over a batch's pairs at once."""
     return _edits(a, b, _chars)
 
 
